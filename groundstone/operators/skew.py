@@ -24,14 +24,10 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column
     ``one`` should hold few rows of each heavy key: they are repeated SALTS times.  ``spread`` is a
     deterministic expression over ``many`` (a retried task must give the same salt).
     """
-    flag = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
-    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    left = many.join(flag, same(many, flag), "left").select(
-        *[many[c] for c in many.columns],
-        F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"),
-    )
-    right = one.join(flag, same(one, flag), "left").select(
-        *[one[c] for c in one.columns],
-        F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"),
-    )
+    flag = F.broadcast(heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys], F.lit(True).alias("_heavy")))
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_heavy_{k}") for k in keys])
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    left = many.join(flag, same, "left").select(*many.columns, F.when(F.col("_heavy"), salt).otherwise(0).alias("_salt"))
+    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(flag, same, "left").select(*one.columns, F.explode(salts).alias("_salt"))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
