@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundstone.llm import components, glyphs, records
+from groundstone.llm import components, glyphs, languages, leaks, neighbours, packing, pieces, records
 from groundstone.tables import table
 
 
@@ -47,8 +47,69 @@ def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("id", glyphs.folded("text").alias("text")).dropDuplicates(["id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_distinct, p2_found, p2_groups, p5_found, p5_quotes, p5_pages)
-}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of facts of cosine 0.82 or more, one among the other's five nearest."""
+    near = neighbours.nearest(table(spark, folder, "fact_embeddings"), 5, floor=0.82)
+    return near.select(F.least("fact_id", "other_id").alias("fact_a_id"), F.greatest("fact_id", "other_id").alias("fact_b_id")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every fact whose id is divisible by 50, among all facts."""
+    return neighbours.nearest(table(spark, folder, "fact_embeddings"), 5, every=50)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Long pages whose stored pieces aren't a sound cut."""
+    return pieces.unsound_pages(table(spark, folder, "pages"), table(spark, folder, "chunks"))
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every long page in pieces."""
+    return pieces.pieces_of(table(spark, folder, "pages")).select("page_id", "ordinal", "char_start", "char_end")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text."""
+    return packing.containers(table(spark, folder, "documents"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill(packing.containers(table(spark, folder, "documents")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share at least 15 words in a row with a test item."""
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
+
+
+def p9_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items and documents with a near copy of a passage: windows of shingle similarity 0.8."""
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), least=leaks.SIMILAR)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose language label is missing or wrong or that hold several languages."""
+    docs = table(spark, folder, "documents")
+    return languages.mislabelled(languages.labels(docs, languages.fit(docs, table(spark, folder, "lang_checked"))))
+
+
+def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language with a confidence."""
+    docs = table(spark, folder, "documents")
+    return languages.labels(docs, languages.fit(docs, table(spark, folder, "lang_checked"))).drop("old_code")
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch in one language with a confidence."""
+    docs = table(spark, folder, "documents")
+    return languages.segments(docs, languages.fit(docs, table(spark, folder, "lang_checked")))
+
+
+_ALL = (
+    p1_found, p1_distinct, p2_found, p2_groups, p4_found, p4_neighbours, p5_found, p5_quotes, p5_pages, p6_found, p6_pieces,
+    p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_documents, p10_segments,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
