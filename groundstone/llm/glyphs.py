@@ -182,6 +182,20 @@ def folded(c: Column | str) -> Column:
     return F.pandas_udf(_fold_series, T.StringType())(c)
 
 
+def _looks_alike():
+    """Column function (quote, shown, placed): is the quote's form the slice's, or in the page's?
+
+    One function over all three, so that it runs after the join, on the rows that differ.  A quote
+    of nothing visible is in every page and shows nothing.
+    """
+
+    def same(quote: pd.Series, shown: pd.Series, placed: pd.Series) -> pd.Series:
+        forms = zip(fold_texts(quote.tolist()), fold_texts(shown.tolist()), placed)
+        return pd.Series([bool(a) and (a == b if p else a in b) for a, b, p in forms], dtype=bool)
+
+    return F.pandas_udf(same, T.BooleanType())
+
+
 def plain_spaces(c: Column) -> Column:
     """Runs of plain spaces, tabs and line ends as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, "[ \t\r\n]+", " "))
@@ -207,6 +221,4 @@ def coded_differently(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     both = both.select("evidence_id", "quote", placed.alias("placed"), shown.alias("shown")).where(F.col("quote") != F.col("shown"))
     quote, shown = plain_spaces(F.col("quote")), plain_spaces(F.col("shown"))
     both = both.where(F.when(F.col("placed"), quote != shown).otherwise(~F.contains(shown, quote)))
-    same = F.when(F.col("placed"), folded("quote") == folded("shown")).otherwise(F.contains(folded("shown"), folded("quote")))
-    # a quote of nothing visible is in every page and shows nothing
-    return both.where(same & (F.length(folded("quote")) > 0)).select("evidence_id").distinct()
+    return both.where(_looks_alike()("quote", "shown", "placed")).select("evidence_id").distinct()

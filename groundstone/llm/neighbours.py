@@ -30,8 +30,9 @@ from groundstone.session import cut
 #: Projected coordinates, rows of the sample that fits the cells, rows of a leaf.
 PROJECTED, SAMPLE_ROWS, LEAF_ROWS, SEED = 12, 20_000, 256, 20_24
 #: The stopping test's quantile of the chi-square distribution with one degree of freedom a
-#: separating coordinate, two at most: measured, not derived, to keep the recall above 0.95.
-STOP = 0.80
+#: separating coordinate, two at most, chosen by measured recall: with a least cosine, whose radius
+#: holds a whole neighbourhood, and without, where the k-th best found so far is the radius.
+STOP, STOP_OPEN = 0.88, 0.95
 #: Directed pairs held in a task before they are cut back to the k best of each vector.
 _HELD = 2_000_000
 
@@ -334,13 +335,14 @@ def class_neighbours(classes: DataFrame, total: int, k: int, dim: int, floor: fl
     return found.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
-def nearest(table: DataFrame, k: int = 5, model: str = "encoder-s64", dim: int = 64, floor: float | None = None, every: int = 1, stop: float = STOP) -> DataFrame:
+def nearest(table: DataFrame, k: int = 5, model: str = "encoder-s64", dim: int = 64, floor: float | None = None, every: int = 1, stop: float | None = None) -> DataFrame:
     """fact_id, other_id and cosine: the k facts whose vectors point most nearly the same way.
 
     Ties go to the smaller fact id.  ``floor`` asks only for neighbours of at least that cosine;
     ``every`` n takes as queries the facts whose id, read as a number, is divisible by n, against all.
     Improper vectors are neither queries nor results; a fact delivered twice counts once.
     """
+    stop = stop if stop is not None else STOP if floor is not None else STOP_OPEN
     rows = cut(proper_vectors(table, model, dim), "vectors")
     members = rows.select("fact_id", "class").distinct()
     classes = rows.where("vec is not null").select("class", "vec")
