@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundstone.plans import general
+from groundstone.plans import general, values
 
-_MODULES = (general,)
+_MODULES = (general, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
