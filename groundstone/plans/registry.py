@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundstone.plans import general, values
+from groundstone.plans import browse, general, streams, texts, values
 
-_MODULES = (general, values)
+_MODULES = (general, values, texts, browse, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
