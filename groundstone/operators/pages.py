@@ -17,7 +17,7 @@ ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 def roman(c: Column) -> Column:
     """Value of a roman numeral, read from its end; null if a letter is none or the sum is 0."""
-    letters = F.reverse(F.split(F.lower(c), "(?!^)"))
+    letters = F.reverse(F.filter(F.split(F.lower(c), ""), lambda ch: ch != ""))
     worth = F.transform(letters, lambda ch: F.coalesce(*[F.when(ch == k, v) for k, v in ROMAN.items()], F.lit(-1)))
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("most"))
     total = F.aggregate(worth, start, lambda a, d: F.struct((a["sum"] + F.when(d < a["most"], -d).otherwise(d)).alias("sum"), F.greatest(a["most"], d).alias("most")), lambda a: a["sum"])
