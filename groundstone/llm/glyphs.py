@@ -56,11 +56,12 @@ def _parts(ch: str) -> str:
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(how many code points each becomes, the first of them, row of the long table, the long table,
-    combining class, sorted pairs base and mark with what they compose to: two arrays in one)."""
+    combining class, sorted pairs base and mark with what they compose to: two arrays in one, row of
+    the long table that has the character's full decomposition, 0 if it has none)."""
     count, first, row = np.ones(_TOP, np.int8), np.arange(_TOP, dtype=np.uint32), np.zeros(_TOP, np.int32)
-    ccc = np.zeros(_TOP, np.uint8)
+    ccc, apart = np.zeros(_TOP, np.uint8), np.zeros(_TOP, np.int32)
     long: list[str] = [""]
     pairs: dict[int, int] = {}
     for cp in [*range(0x80), *range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0xE0000, 0xE1000)]:
@@ -71,6 +72,9 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
             a, b = (int(x, 16) for x in d.split())
             if unicodedata.normalize("NFC", chr(a) + chr(b)) == ch:
                 pairs[a << 21 | b] = cp
+        if d and d[0] != "<" and (full := unicodedata.normalize("NFD", ch)) != ch:
+            apart[cp] = len(long)
+            long.append(full)
         new = unicodedata.normalize("NFC", _parts(ch))
         if new == ch:
             continue
@@ -85,7 +89,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
     for i, s in enumerate(long):
         table[i, : len(s)] = [ord(c) for c in s]
     keys = np.array(sorted(pairs), np.int64)
-    return count, first, row, table, ccc, np.stack([keys, np.array([pairs[k] for k in keys.tolist()], np.int64)])
+    return count, first, row, table, ccc, np.stack([keys, np.array([pairs[k] for k in keys.tolist()], np.int64)]), apart
 
 
 def _positioned(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +98,24 @@ def _positioned(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
 
 
-def _ordered(flat: np.ndarray, ccc: np.ndarray) -> None:
+def _long(flat: np.ndarray, owner: np.ndarray, at: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put rows of the long table in place of the code points at ``at``."""
+    size = np.ones(len(flat), np.int64)
+    size[at] = (table[rows] != 0).sum(1)
+    out = np.repeat(flat, size)
+    start = np.cumsum(size)[at] - size[at]
+    for j in range(table.shape[1]):
+        has = size[at] > j
+        out[start[has] + j] = table[rows[has], j]
+    return out, np.repeat(owner, size)
+
+
+def _ordered(flat: np.ndarray, owner: np.ndarray, ccc: np.ndarray) -> None:
     """Sort each run of combining marks by class, stably, in place."""
     marks = np.flatnonzero(ccc[flat])
     if len(marks) < 2:
         return
-    run = np.cumsum(np.diff(marks, prepend=marks[0] - 1) != 1)
+    run = np.cumsum((np.diff(marks, prepend=-5) != 1) | (np.diff(owner[marks], prepend=-5) != 0))
     flat[marks] = flat[marks[np.lexsort((ccc[flat[marks]], run))]]
 
 
@@ -109,7 +125,7 @@ def _composed(flat: np.ndarray, owner: np.ndarray, ccc: np.ndarray, pairs: np.nd
     if not len(marks):
         return flat, owner
     flat = flat.copy()
-    new = np.flatnonzero(np.diff(marks, prepend=-5) != 1)
+    new = np.flatnonzero((np.diff(marks, prepend=-5) != 1) | (np.diff(owner[marks], prepend=-5) != 0))
     size = np.diff(np.append(new, len(marks)))
     start = marks[new]
     base = start - 1
@@ -131,23 +147,23 @@ def _composed(flat: np.ndarray, owner: np.ndarray, ccc: np.ndarray, pairs: np.nd
 
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the consistent forms of a batch, and where each text starts (n + 1 offsets)."""
-    count, first, row, table, ccc, pairs = tables()
+    count, first, row, table, ccc, pairs, apart = tables()
     flat, owner = _positioned(texts)
     n = count[flat]
-    if (n == 1).all():
-        flat = first[flat]
-    else:
-        many = np.flatnonzero(n > 1)
-        size = n.astype(np.int64)
-        out = np.repeat(first[flat], size)
-        if len(many):
-            at = np.cumsum(size)[many] - size[many]
-            for j in range(table.shape[1]):
-                has = size[many] > j
-                out[at[has] + j] = table[row[flat[many[has]]], j]
-        flat, owner = out, np.repeat(owner, size)
+    if not (n == 1).all():
+        keep = n > 0
+        flat, owner, n = flat[keep], owner[keep], n[keep]
+    many = np.flatnonzero(n > 1)
+    rows = row[flat[many]]
+    flat = first[flat]
+    if len(many):
+        flat, owner = _long(flat, owner, many, rows, table)
     if len(flat) and ccc[flat].any():
-        _ordered(flat, ccc)
+        # a composed letter with a further mark is taken apart, so that all its marks are ordered
+        marked = np.flatnonzero(ccc[flat][1:].astype(bool) & (apart[flat[:-1]] > 0) & (owner[1:] == owner[:-1]))
+        if len(marked):
+            flat, owner = _long(flat, owner, marked, apart[flat[marked]], table)
+        _ordered(flat, owner, ccc)
         flat, owner = _composed(flat, owner, ccc, pairs)
     space = flat == _SPACE
     if space.any():
@@ -166,11 +182,29 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fold_texts(texts: list[str | None]) -> list[str | None]:
     """The consistent form of each text; null stays null, and a text of nothing visible becomes ''."""
-    hangul = lambda t: unicodedata.normalize("NFC", t) if any("ᄀ" <= c <= "ᇿ" for c in t) else t
-    held = [("" if t is None else t if t.isascii() else hangul(t)) for t in texts]
-    flat, at = fold(held)
-    whole = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return [None if t is None else whole[a:b] for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist())]
+    out: list[str | None] = []
+    for a, b in parts([len(t) if t else 0 for t in texts]):
+        # jamo compose by arithmetic, not by the table
+        held = ["" if t is None else t if t.isascii() or not any("ᄀ" <= c <= "ᇿ" for c in t) else unicodedata.normalize("NFC", t) for t in texts[a:b]]
+        flat, at = fold(held)
+        whole = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        out += [None if t is None else whole[x:y] for t, x, y in zip(texts[a:b], at[:-1].tolist(), at[1:].tolist())]
+    return out
+
+
+#: Characters that are worked on at a time; one longer text is a part of its own.
+PART = 1 << 20
+
+
+def parts(sizes: list[int]) -> list[tuple[int, int]]:
+    """Ranges of texts of at most PART characters together, so that memory doesn't follow a batch's size."""
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > PART:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return [*out, (start, len(sizes))] if sizes else []
 
 
 def _fold_series(texts: pd.Series) -> pd.Series:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from groundstone.llm.glyphs import fold
+from groundstone.llm.glyphs import fold, parts
 
 WINDOW, RADIUS, SHINGLE, SIMILAR = 15, 3, 5, 0.8
 #: Items are the query set: they are sent to the tasks in blocks of at most so many characters.
@@ -208,8 +208,8 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius:
         def run(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
             index = BlockIndex([r[0] for r in rows], [r[1] for r in rows], window, radius)
             for batch in batches:
-                for a in range(0, len(batch), 500):
-                    b = batch.iloc[a : a + 500]
+                for first, last in parts(batch.text.str.len().tolist()):
+                    b = batch.iloc[first:last]
                     h, owner, length = words(b.text.tolist())
                     at = same_text(owner, window)
                     if not len(at) or not len(index.at):
