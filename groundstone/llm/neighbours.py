@@ -347,13 +347,15 @@ def nearest(table: DataFrame, k: int = 5, model: str = "encoder-s64", dim: int =
     members = rows.select("fact_id", "class").distinct()
     classes = rows.where("vec is not null").select("class", "vec")
     total = classes.count()
-    asked = None
     queries = members
     if every > 1:
-        number = F.pmod(F.conv(F.substring(F.sha2("fact_id", 256), 1, 15), 16, 10).cast("bigint"), F.lit(every))
-        number = F.when(F.col("fact_id").rlike("^fact_[0-9a-f]{1,15}$|^fact_[0-9a-f]{16}$"), F.pmod(F.conv(F.substring("fact_id", -15, 15), 16, 10).cast("bigint") + F.lit(0), F.lit(every))).otherwise(number)
+        # ids of another shape are numbered by their hash
+        digits = F.coalesce(F.nullif(F.regexp_extract("fact_id", "^fact_0*([0-9a-f]{1,16})$", 1), F.lit("")), F.substring(F.sha2("fact_id", 256), 1, 15))
+        low, high = F.right(digits, F.lit(8)), F.substring(F.lpad(digits, 16, "0"), 1, 8)
+        parts = [F.conv(c, 16, 10).cast("bigint") % every for c in (high, low)]
+        number = (parts[0] * (2**32 % every) + parts[1]) % every
         queries = members.where(number == 0)
-        asked = queries.select("class").distinct()
+    asked = queries.select("class").distinct() if floor is None else None
     pairs = cut(class_neighbours(classes, total, k, dim, floor, asked, stop), "class-pairs")
     few = Window.partitionBy("class").orderBy("fact_id")
     sizes = members.groupBy("class").agg(F.count("*").alias("n"))
