@@ -10,7 +10,7 @@ from groundstone.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(cores=4, shuffle_partitions=4, memory="4g")
+    s = local_session(cores=4, shuffle_partitions=2, memory="4g")
     s.sparkContext.setLogLevel("OFF")
     return s
 
