@@ -112,4 +112,13 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+_GROUPS = """with recursive f as (select distinct id from facts),
+ e as (select distinct fact_a_id as a, fact_b_id as b from relationships where regexp_replace(upper(relation_type), '[^A-Z]', '', 'g') = 'CORROBORATES' and fact_a_id <> fact_b_id and fact_a_id in (from f) and fact_b_id in (from f)),
+ n as (select a, b from e union select b, a from e),
+ r(id, seen) as (select a, a from n union select n.b, r.seen from r join n on n.a = r.id),
+ g as (select id, min(seen) as first_id from r group by 1)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"{_GROUPS} select first_id, id as fact_id from g where id <> first_id",
+    "p2_groups": f"{_GROUPS} select f.id as fact_id, coalesce(g.first_id, f.id) as group_id from f left join g using (id)",
+}
