@@ -37,8 +37,8 @@ _QUANTITY = re.compile(rf"^\s*(?:{_ABOUT}\s*)*(?P<cur>{_CURRENCY})?\s*(?P<sign>[
 MONTHS = {m[:3]: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
 _YMD = re.compile(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})")
 _DMY = re.compile(r"(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4}|\d{2})")
-_DMONY = re.compile(r"(\d{1,2})(?:st|nd|rd|th)?[-/. ,]*([a-z]{3,9})\.?[-/. ,]*(\d{4}|\d{2})", re.I)
-_MONDY = re.compile(r"([a-z]{3,9})\.?[-/. ]*(\d{1,2})(?:st|nd|rd|th)?[-/. ,]+(\d{4}|\d{2})", re.I)
+_DMONY = re.compile(r"(\d{1,2})(?:st|nd|rd|th)?[-/. ,;]*([a-z]{3,9})\.?[-/. ,;]*(\d{4}|\d{2})", re.I)
+_MONDY = re.compile(r"([a-z]{3,9})\.?[-/. ]*(\d{1,2})(?:st|nd|rd|th)?[-/. ,;]+(\d{4}|\d{2})", re.I)
 
 # Spellings of yes and no.
 _YES, _NO = frozenset("true yes y t".split()), frozenset("false no n f".split())

@@ -81,16 +81,23 @@ def cross_document_pairs(vectors: DataFrame, options: Options = DEFAULTS) -> Dat
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "p": [], "similarity": []})
         s = np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T
-        s[left.document_id.to_numpy()[:, None] == right.document_id.to_numpy()[None, :]] = -2
-        out = []
-        for table, a, c in ((s, left, right), *(() if x == y else ((s.T, right, left),))):
-            top = np.argsort(-table, axis=1, kind="stable")[:, :k] if table.shape[1] > k else np.argsort(-table, axis=1, kind="stable")
-            i = np.repeat(np.arange(len(a)), top.shape[1])
-            j = top.ravel()
-            fine = table[i, j] >= threshold
-            out.append(pd.DataFrame({"q": a.fact_id.to_numpy()[i[fine]], "p": c.fact_id.to_numpy()[j[fine]], "similarity": table[i, j][fine]}))
+        i, j = np.nonzero(s >= threshold)
+        apart = left.document_id.to_numpy()[i] != right.document_id.to_numpy()[j]
+        i, j = i[apart], j[apart]
+        value, a, c = s[i, j], left.fact_id.to_numpy(), right.fact_id.to_numpy()
+        out = [best(i, j, value, a, c)]
+        if x != y:
+            out.append(best(j, i, value, c, a))
         return pd.concat(out)
 
+    def best(i: np.ndarray, j: np.ndarray, value: np.ndarray, a: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        """The k best of each row; rows come sorted by id, so ties go to the smaller one."""
+        order = np.lexsort((j, -value, i))
+        i, j, value = i[order], j[order], value[order]
+        start = np.flatnonzero(np.diff(i, prepend=-1))
+        few = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+        return pd.DataFrame({"q": a[i[few]], "p": c[j[few]], "similarity": value[few]})
+
     found = spread.groupBy("x", "y").applyInPandas(lambda b: run(b.sort_values("fact_id")), "q string, p string, similarity double")
     best = Window.partitionBy("q").orderBy(F.desc("similarity"), "p")
     kept = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -136,7 +136,22 @@ _FIGURES = f"len(list_filter({_LINES}, lambda l: {_HITS} > 0 and {_HITS} >= grea
 _BARE = q.strip("quote")
 _BARE = f"case when regexp_matches({_BARE}, '(?s)^[\"''“‘].*[\"''”’]$') and length({_BARE}) >= 2 then {q.strip(f'substr({_BARE}, 2, length({_BARE}) - 2)')} else {_BARE} end"
 
+_WORTH = " ".join(f"when '{k}' then {v}" for k, v in page_ops.ROMAN.items())
+_ROMAN = f"(select list_sum([case when w[i] < coalesce(list_max(w[i + 1:]), 0) then -w[i] else w[i] end for i in range(1, len(w) + 1)]) from (select list_transform(string_split(lower(label), ''), lambda c: case c {_WORTH} end) as w))"
+_SCAN = f"list_concat(list_slice({_LINES}, 1, {page_ops.SCAN_LINES}), list_slice({_LINES}, greatest(len({_LINES}) - {page_ops.SCAN_LINES - 1}, 1), len({_LINES})))"
+_TOKEN = f"case when length(l) <= {page_ops.ALONE_CHARS} and regexp_extract(l, '{page_ops.ALONE}', 1) <> '' then regexp_extract(l, '{page_ops.ALONE}', 1) when length(l) <= {page_ops.EDGE_CHARS} then regexp_extract(l, '{page_ops.EDGE}', 1) || regexp_extract(l, '{page_ops.EDGE}', 2) else '' end"
+
 SQL: dict[str, str] = {
+    "page_labels": f"""with p as (select distinct id, document_id, pdf_page_index as page, text from pages),
+ l as (select id, document_id, page, {q.strip('s')} as l from (select id, document_id, page, unnest({_SCAN}) as s from p)),
+ t as (select distinct id, document_id, page, {_TOKEN} as label from l),
+ v as (select *, case when regexp_full_match(label, '[0-9]+') then try_cast(label as bigint) else {_ROMAN} end as value from t where label <> ''),
+ k as (select * from v where value between 1 and 9999),
+ s as (select id, value, max(label) as label from k a where exists (select 1 from k b where b.document_id = a.document_id and ((b.page = a.page + 1 and b.value in (a.value + 1, a.value + 2)) or (b.page = a.page - 1 and b.value in (a.value - 1, a.value - 2)))) group by 1, 2),
+ i as (select *, value - row_number() over (partition by id order by value) as island from s),
+ r as (select id, count(*) as n, min(value) as low, arg_min(label, value) as first, arg_max(label, value) as last from i group by id, island),
+ b as (select distinct on (id) * from r order by id, n desc, low)
+ select p.id, case when b.n > 1 then b.first || '-' || b.last else b.first end as label from p left join b using (id)""",
     "retrieval_windows": f"""with p as (select distinct * from pages where length({_STRIPPED}) > 0),
  w as (select document_id, id as page_id, pdf_page_index, unnest(range(0, greatest(ceil((length(text) - 900) / 750.0)::bigint, 0) + 1)) as k, text as page from p),
  t as (select document_id, page_id, pdf_page_index, (k * 750)::bigint as char_start, least(k * 750 + 900, length(page)) as char_end, substr(page, k * 750 + 1, 900) as text from w),
