@@ -101,3 +101,15 @@ def agree(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     """True, false, or null where either side is missing."""
     most = F.greatest(F.abs(a), F.abs(b))
     return F.when(a.isNull() | b.isNull(), None).when(a == b, True).otherwise(F.abs(a - b) / F.nullif(most, F.lit(0.0)) <= tolerance)
+
+
+def general(x: Column) -> Column:
+    """A number with six significant digits, as C's ``%g`` writes it."""
+    e = F.format_string("%.5e", x)
+    exponent = F.regexp_extract(e, "e([+-][0-9]+)$", 1).cast("int")
+    sign, digits = F.when(x < 0, "-").otherwise(""), F.regexp_replace(F.regexp_extract(e, "^-?([0-9.]+)e", 1), "[.]", "")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "([.][0-9]*?)0+$", "$1"), "[.]$", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    plain = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.lit(6)))
+    far = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.regexp_extract(e, "(e[+-][0-9]+)$", 1))
+    return F.when(x.isNull(), None).when(x == 0, "0").otherwise(F.concat(sign, F.when((exponent < -4) | (exponent > 5), far).when(exponent < 0, bare(small)).otherwise(bare(plain))))

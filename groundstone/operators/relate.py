@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from groundstone.functions import identity
 from groundstone.functions.payload import attribute, field
-from groundstone.functions.quantity import agree, normalised
+from groundstone.functions.quantity import agree, general, normalised
 from groundstone.functions.text import clean, strip
 
 # The labels of a relation.
@@ -42,6 +42,21 @@ def by_rules(tolerance: float = 0.01) -> Column:
     )
 
 
+def explained(tag: Column) -> Column:
+    """In words why the rules gave a reason tag, from the columns a_* and b_*."""
+    both = lambda n: F.concat(F.coalesce(F.col(f"a_{n}"), F.lit("none")), F.lit(" / "), F.coalesce(F.col(f"b_{n}"), F.lit("none")))
+    values = F.concat(general(F.col("a_norm_value")), F.lit(" / "), general(F.col("b_norm_value")))
+    return (
+        F.when(tag == "different_attribute", F.concat(F.lit("keys differ: "), both("key")))
+        .when(tag == "units_differ", F.concat(F.lit("units differ: "), both("norm_unit")))
+        .when(tag == "non_numeric", "a side has no magnitude")
+        .when(tag == "same_value", F.concat(F.lit("magnitudes agree: "), values))
+        .when(tag == "different_period", F.concat(values, F.lit(" in different periods: "), both("period")))
+        .when(tag == "different_scope", F.concat(values, F.lit(" in different scopes: "), both("qualifier")))
+        .when(tag == "value_mismatch", F.concat(F.lit("magnitudes differ: "), values))
+    )
+
+
 def checked(model: str = "model_type", model_tag: str = "model_tag", model_confidence: str = "model_confidence", tolerance: float = 0.01) -> Column:
     """A model's verdict where it is valid, corrected by arithmetic; the rules' verdict elsewhere.
 
@@ -64,8 +79,8 @@ def checked(model: str = "model_type", model_tag: str = "model_tag", model_confi
     )
 
 
-def classified(pairs: DataFrame, facts: DataFrame, model: bool = False) -> DataFrame:
-    """fact_a_id, fact_b_id and the verdict; pairs with an end that is no fact have status ``failed``.
+def classified(pairs: DataFrame, facts: DataFrame, model: bool = False, explain: bool = False) -> DataFrame:
+    """fact_a_id, fact_b_id and the verdict, with the rules' explanation if asked; pairs with an end that is no fact have status ``failed``.
 
     Magnitudes and periods are computed once per fact, before the pairs meet them.
     """
@@ -74,4 +89,6 @@ def classified(pairs: DataFrame, facts: DataFrame, model: bool = False) -> DataF
     d = pairs.join(side("a"), "fact_a_id", "left").join(side("b"), "fact_b_id", "left")
     there = F.col("a_key").isNotNull() & F.col("b_key").isNotNull()
     d = d.withColumn("_v", F.when(there, checked() if model else by_rules()))
-    return d.select("fact_a_id", "fact_b_id", "_v.*", F.when(there, "ok").otherwise("failed").alias("status"))
+    if explain:
+        d = d.withColumn("explanation", F.when(there, explained(by_rules()["reason_tag"])))
+    return d.select("fact_a_id", "fact_b_id", "_v.*", F.when(there, "ok").otherwise("failed").alias("status"), *(["explanation"] if explain else []))

@@ -98,6 +98,12 @@ def classify_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return relate.classified(pairs, _facts(spark, folder))
 
 
+def pair_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    """In words why every stored pair has its verdict."""
+    pairs = _pairs(spark, folder).select("fact_a_id", "fact_b_id").distinct()
+    return relate.classified(pairs, _facts(spark, folder), explain=True).select("fact_a_id", "fact_b_id", "explanation")
+
+
 def checked_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Stored verdicts as if a model had given them, corrected by arithmetic; counts by outcome."""
     d = relate.classified(_pairs(spark, folder), _facts(spark, folder), model=True)
@@ -147,7 +153,7 @@ _MODEL_PAIRS = "(select distinct id, fact_a_id, fact_b_id, relation_type as mode
 _JOINED = "left join views a on a.id = p.fact_a_id left join views b on b.id = p.fact_b_id"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    normalize_value, scalar_parts, canonical_identity, periods, content_ids, fact_type_registry, registry_total, emergent_keys, json_guard, classify_pairs, checked_verdicts, values_agree,
+    normalize_value, scalar_parts, canonical_identity, periods, content_ids, fact_type_registry, registry_total, emergent_keys, json_guard, classify_pairs, pair_explanations, checked_verdicts, values_agree,
 )}
 
 SQL: dict[str, str] = {
@@ -171,6 +177,9 @@ SQL: dict[str, str] = {
  select form, outcome, c as texts, c * records as records from n, (values ('plain', 'ok_first_try', 1), ('fenced', 'ok_first_try', 1), ('wrapped', 'ok_first_try', 1), ('cut', 'ok_after_repair', 1), ('empty', 'ok_first_try', 0), ('words', 'failed', 0)) t(form, outcome, records)""",
     "classify_pairs": f"""{_VIEWS} select p.fact_a_id, p.fact_b_id, case when {_THERE} then {_rules(0)} end as relation_type, case when {_THERE} then {_rules(1)} end as reason_tag, case when {_THERE} then {_rules(2)} end::double as confidence, case when {_THERE} then 'ok' else 'failed' end as status
  from (select distinct fact_a_id, fact_b_id from relationships) p {_JOINED}""",
+    "pair_explanations": f"""{_VIEWS}, t as (select p.fact_a_id, p.fact_b_id, case when {_THERE} then {_rules(1)} end as tag, format('{{:g}} / {{:g}}', a.norm_value, b.norm_value) as v, coalesce(a.key, 'none') || ' / ' || coalesce(b.key, 'none') as k, coalesce(a.norm_unit, 'none') || ' / ' || coalesce(b.norm_unit, 'none') as u, coalesce(a.period, 'none') || ' / ' || coalesce(b.period, 'none') as t, coalesce(a.qualifier, 'none') || ' / ' || coalesce(b.qualifier, 'none') as q
+ from (select distinct fact_a_id, fact_b_id from relationships) p {_JOINED})
+ select fact_a_id, fact_b_id, case tag when 'different_attribute' then 'keys differ: ' || k when 'units_differ' then 'units differ: ' || u when 'non_numeric' then 'a side has no magnitude' when 'same_value' then 'magnitudes agree: ' || v when 'different_period' then v || ' in different periods: ' || t when 'different_scope' then v || ' in different scopes: ' || q when 'value_mismatch' then 'magnitudes differ: ' || v end as explanation from t""",
     "checked_verdicts": f"""{_VIEWS}, v as (select case when {_THERE} then {_checked(0)} end as relation_type, case when {_THERE} then {_checked(1)} end as reason_tag, case when {_THERE} then {_checked(2)} end::double as confidence, case when {_THERE} then 'ok' else 'failed' end as status from {_MODEL_PAIRS} p {_JOINED})
  select relation_type, reason_tag, status, count(*) as pairs, round(sum(confidence), 6) as confidence from v group by all""",
     "values_agree": f"with {q.FACTS}, p as (select distinct id, fact_a_id, fact_b_id from relationships) select {_AGREE.format(v='value_num')} as agree, count(*) as pairs from p join facts1 a on a.id = p.fact_a_id join facts1 b on b.id = p.fact_b_id group by 1",

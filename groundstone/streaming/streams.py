@@ -65,3 +65,9 @@ def latest(spark: SparkSession, table: str) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events per window and type; those later than the watermark are left out of closed windows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """Recent micro-batches of a stream as a table: batch, rows and milliseconds (Spark keeps a hundred)."""
+    rows = [(p["batchId"], p["numInputRows"], p["batchDuration"]) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch bigint, rows bigint, ms bigint").orderBy(F.desc("batch"))

@@ -99,3 +99,9 @@ def test_stored_payload(spark):
     import json
 
     assert json.loads(d.select(payload.stored(F.col("r"), F.lit("new")).alias("x")).first().x) == {"subject": "s", "unit": None, "extra": "x", "source_quote": "new"}
+
+
+def test_general_format(spark):
+    values = [0.0, 5.0, -5.5, 100000.0, 1234567.0, 8.142e10, 0.0001, 0.00001234, 123.456789, -2.5e-7, 1e300, 999999.5, None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    assert [r.x for r in d.select("i", quantity.general(F.col("v")).alias("x")).orderBy("i").collect()] == [None if v is None else f"{v:g}" for v in values]
