@@ -58,6 +58,19 @@ def test_running_registry_equals_batch(spark, facts, tmp_path, rows):
     assert rows(streams.latest(spark, f"{at}/t"), "fact_type", "fact_count") == [("x", 2), ("y", 2)]
 
 
+def test_windows_of_a_stream_equal_those_of_the_batch(spark, tmp_path, rows):
+    import datetime as dt
+
+    t = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    d = spark.createDataFrame([(1, t(1, 1), "a"), (2, t(1, 23), "a"), (3, t(2, 5), "b"), (4, t(3, 0), "a")], "event_id bigint, ts timestamp, event_type string")
+    d.write.parquet(str(tmp_path / "in"))
+    stream = streams.windowed_counts(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(spark.table("windows")) == rows(streams.windowed_counts(d)) and len(rows(d)) == 4
+    assert streams.progress(spark, q).count() >= 1
+
+
 def test_embedder(spark):
     d = spark.createDataFrame([("revenue of Acme",), ("revenue of acme",), (None,), ("",)], "t string")
     v = [r.v for r in d.select(models.embedded(F.col("t")).alias("v")).collect()]
