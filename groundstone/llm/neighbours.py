@@ -261,11 +261,11 @@ def search_cell(own: np.ndarray, asked: np.ndarray, visiting: np.ndarray, k: int
 def class_neighbours(classes: DataFrame, total: int, k: int, dim: int, floor: float | None = None, asked: DataFrame | None = None, stop: float = STOP) -> DataFrame:
     """q, p and cosine: for every class of vectors (or those in ``asked``) its k nearest others.
 
-    ``classes`` has class, vec and perhaps repeats.  Cells hold about 60 times the root of the number
+    ``classes`` has class, vec and perhaps repeats.  Cells hold about 90 times the root of the number
     of rows, so both their number and their size grow slower than the collection.
     """
     a = projection(dim)
-    count = 1 << max(0, round(math.log2(max(1.0, total / (60 * math.sqrt(max(total, 1)))))))
+    count = 1 << max(0, round(math.log2(max(1.0, total / (90 * math.sqrt(max(total, 1)))))))
     share = max(1, total // SAMPLE_ROWS)
     rows = classes.where(F.pmod(F.xxhash64("class"), F.lit(share)) == 0).select("vec").limit(SAMPLE_ROWS).collect() if count > 1 else []
     sample = np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dim) @ a if rows else np.zeros((0, PROJECTED), np.float32)
