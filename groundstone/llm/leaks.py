@@ -4,8 +4,13 @@ Words are runs of letters and digits of the consistent text form (``glyphs``) in
 window of ``WINDOW`` words, of items and corpus alike, gets a SimHash: each of its 64 bits is the
 majority of that bit over the window's word hashes.  A corpus window and an item window within the
 Hamming radius agree in at least one of radius + 1 blocks of bits, so looking every block up in an
-index of the items' blocks finds them all.  Candidates are verified word by word, or by the weighted
-share of their five-word shingles.
+index of the items' blocks finds them all.  Windows of the same words have the same SimHash, so
+these are all among the candidates, which are verified word by word.
+
+Near copies have no such radius: one edge word of fifteen flips about seven bits.  Their candidates
+come from the five-word shingles themselves.  Shared shingles weigh at least ``least`` of a window's,
+so any of its shingles that weigh more than the rest together hold a shared one: the shingles that
+fewest items have are looked up until they do, and no pair is missed.
 
 A window is as long as the shortest passage that counts, so any longer passage holds one.
 """
@@ -146,43 +151,112 @@ class BlockIndex:
                 yield a + who[near], item[near]
 
 
-def _matches(index: BlockIndex, h: np.ndarray, length: np.ndarray, at: np.ndarray, prints: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _matches(index: BlockIndex | ShingleIndex, h: np.ndarray, length: np.ndarray, at: np.ndarray, prints: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(window, item window, weighted share of five-word shingles) of verified candidates.
 
     With ``least`` 1 a candidate must have the same words in the same order.
     """
-    w = index.window
-    step = np.arange(w)
+    if least < 1:
+        yield from index.near(h, length, at, least)
+        return
+    step = np.arange(index.window)
     for who, item in index.candidates(prints):
         if not len(who):
             continue
         a, b = at[who], index.at[item]
         first = h[a] == index.h[b]
-        if least >= 1:
-            who, item, a, b = who[first], item[first], a[first], b[first]
+        who, item, a, b = who[first], item[first], a[first], b[first]
         for k in range(0, len(who), 1 << 16):
             s = slice(k, k + (1 << 16))
-            if least >= 1:
-                ok = (h[a[s][:, None] + step] == index.h[b[s][:, None] + step]).all(1)
-                yield who[s][ok], item[s][ok], np.ones(int(ok.sum()))
-            else:
-                share = _shingle_share(h[a[s][:, None] + step], length[a[s][:, None] + step], index.h[b[s][:, None] + step], index.length[b[s][:, None] + step])
-                ok = share >= least
-                yield who[s][ok], item[s][ok], share[ok]
+            ok = (h[a[s][:, None] + step] == index.h[b[s][:, None] + step]).all(1)
+            yield who[s][ok], item[s][ok], np.ones(int(ok.sum()))
 
 
-def _shingle_share(x: np.ndarray, xl: np.ndarray, y: np.ndarray, yl: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard of five-word shingles, each weighing as many as it has characters."""
+def shingles(h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, characters) of the five-word shingle that starts at each word, over ends of texts too."""
+    n = max(len(h) - SHINGLE + 1, 0)
+    key, weight = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for j in range(SHINGLE):
+        key = key * np.uint64(_BASE) + h[j : j + n]
+        weight += length[j : j + n]
+    return key, weight
+
+
+def _once(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of rows of shingles, 0 for one that stands in its row before."""
+    before = np.tri(key.shape[1], k=-1, dtype=bool)
+    return np.where(((key[:, :, None] == key[:, None, :]) & before).any(2), 0, weight)
 
-    def shingles(v: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = v.shape[1] - SHINGLE + 1
-        key, weight = np.zeros((len(v), n), np.uint64), np.zeros((len(v), n))
-        for j in range(SHINGLE):
-            key = key * np.uint64(_BASE) + v[:, j : j + n]
-            weight += lens[:, j : j + n]
-        return key, weight
 
-    (a, wa), (b, wb) = shingles(x, xl), shingles(y, yl)
+class ShingleIndex:
+    """Item windows by their five-word shingles."""
+
+    def __init__(self, ids: list[int], texts: list[str], window: int):
+        self.window = window
+        h, owner, length = words(texts)
+        self.at = same_text(owner, window)
+        self.ids = np.array(ids, np.int64)[owner[self.at]] if len(self.at) else np.zeros(0, np.int64)
+        self.key, self.weight = shingles(h, length)
+        # every shingle of every window, so that a lookup gives windows
+        held = self.key[self.at[:, None] + np.arange(window - SHINGLE + 1)].ravel()
+        order = np.argsort(held, kind="stable")
+        self.windows = order // (window - SHINGLE + 1)
+        self.keys, self.first, self.many = np.unique(held[order], return_index=True, return_counts=True)
+
+    def found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in keys, how many item windows hold it) of shingles."""
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return place, np.where(self.keys[place] == key, self.many[place], 0)
+
+    def near(self, h: np.ndarray, length: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(index into at, item window, share) of all pairs whose share of shingles reaches ``least``."""
+        if not len(self.at) or not len(at):
+            return
+        size = self.window - SHINGLE + 1
+        step = np.arange(size)
+        key, weight = shingles(h, length)
+        place, many = self.found(key)
+        # shares that can't be reached go by sums over runs; a window that repeats a shingle, which counts once, stays
+        known, total = (np.concatenate([[0], np.cumsum(v)]) for v in (weight * (many > 0), weight))
+        enough = known[at + size] - known[at] >= (least - 1e-9) * (total[at + size] - total[at])
+        again = np.zeros(len(key), bool)
+        for d in range(1, size):
+            again[d:] |= key[d:] == key[:-d]
+        held = [np.concatenate([[0], np.cumsum(v)]) for v in (many > 0, again)]
+        some, repeats = (c[at + size] > c[at] for c in held)
+        live = np.flatnonzero(some & (enough | repeats))
+        for k in range(0, len(live), 1 << 14):
+            who = live[k : k + (1 << 14)]
+            cell = at[who][:, None] + step
+            own = _once(key[cell], weight[cell])
+            n = np.where(own > 0, many[cell], 0)
+            rare = np.argsort(n, axis=1, kind="stable")
+            sorted_own = np.take_along_axis(own, rare, 1)
+            before = np.cumsum(sorted_own, axis=1) - sorted_own
+            look = np.zeros(cell.shape, bool)
+            np.put_along_axis(look, rare, before <= (1 - least + 1e-9) * own.sum(1)[:, None], 1)
+            row, col = np.nonzero(look & (n > 0))
+            yield from self._verified(who, key[cell], own, row, place[cell][row, col], n[row, col], least)
+
+    def _verified(self, who: np.ndarray, key: np.ndarray, own: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of rows and of the item windows that hold a shingle looked up, if they are near; a pair may come again."""
+        step = np.arange(self.window - SHINGLE + 1)
+        ends = np.cumsum(n)
+        # lookups that give many windows are taken in parts
+        for a in range(0, int(n.sum()), 1 << 16):
+            pos = np.arange(a, min(a + (1 << 16), int(ends[-1])))
+            hit = np.searchsorted(ends, pos, "right")
+            item = self.windows[self.first[place[hit]] + pos - (ends - n)[hit]]
+            pair = np.unique(row[hit] * len(self.at) + item)
+            r, item = pair // len(self.at), pair % len(self.at)
+            cell = self.at[item][:, None] + step
+            share = _shingle_share(key[r], own[r], self.key[cell], _once(self.key[cell], self.weight[cell]))
+            ok = share >= least
+            yield who[r[ok]], item[ok], share[ok]
+
+
+def _shingle_share(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of five-word shingles, each weighing as many as it has characters."""
     shared = (wa * (a[:, :, None] == b[:, None, :]).any(2)).sum(1)
     return shared / np.maximum(wa.sum(1) + wb.sum(1) - shared, 1e-9)
 
@@ -191,8 +265,8 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius:
     """item_id, doc_id, windows and similarity: which items are in which documents.
 
     ``windows`` counts the document's windows that match the item, ``similarity`` is the best of
-    them.  With ``least`` 1 a match is a window of the same words; below 1, one whose weighted
-    shingle similarity reaches it, among all within the radius.  Null and empty texts, and items
+    them.  With ``least`` 1 a match is a window of the same words; below 1, any whose weighted
+    shingle similarity reaches it, whatever the radius.  Null and empty texts, and items
     shorter than the window, match nothing.  Items and documents given twice count once in pairs.
     Items are processed in blocks of bounded size, each against all documents.
     """
@@ -206,7 +280,8 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius:
         rows = sorted((r.item_id, r.text) for r in item_rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
 
         def run(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            index = BlockIndex([r[0] for r in rows], [r[1] for r in rows], window, radius)
+            ids, held = [r[0] for r in rows], [r[1] for r in rows]
+            index = BlockIndex(ids, held, window, radius) if least >= 1 else ShingleIndex(ids, held, window)
             for batch in batches:
                 for first, last in parts(batch.text.str.len().tolist()):
                     b = batch.iloc[first:last]
@@ -214,7 +289,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius:
                     at = same_text(owner, window)
                     if not len(at) or not len(index.at):
                         continue
-                    prints = fingerprints(h, window)[at]
+                    prints = fingerprints(h, window)[at] if least >= 1 else np.zeros(0, np.uint64)
                     got = [(at[who], index.ids[item], share) for who, item, share in _matches(index, h, length, at, prints, least)]
                     got = [g for g in got if len(g[0])]
                     if not got:

@@ -205,6 +205,41 @@ def test_near_copies(spark):
     assert got[1] == 1.0 and 3 not in got
 
 
+def shares(item, doc):
+    """Best share of every document window that is near one of the item's, by plain sets."""
+
+    def windows(t):
+        w = words_of(t)
+        return [{tuple(w[k + j : k + j + 5]) for j in range(11)} for k in range(len(w) - 14)]
+
+    weigh = lambda s: sum(len(w) for g in s for w in g)
+    theirs = windows(item)
+    best = [max((weigh(x & y) / weigh(x | y) for y in theirs), default=0) for x in windows(doc)]
+    return [x for x in best if x >= 0.8]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefg") for _ in range(rnd.choice([1, 2, 5, 12]))) for _ in range(300)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [text(rnd.randint(10, 60)) for _ in range(12)] + [["ha"] * 8 + text(12) + ["ha"] * 9, [*"abcab" * 5]]
+    docs = []
+    for d in range(160):
+        w = rnd.choice(items)
+        k = rnd.choice([13, 14, 14, 15, 25])
+        a = rnd.randrange(max(1, len(w) - k))
+        part = w[a : a + k]
+        if d % 4 == 0:
+            part[rnd.choice([0, -1, len(part) // 2])] = "other"
+        docs.append((d, " ".join([*text(rnd.randint(0, 20)), *part, *text(rnd.randint(0, 20))])))
+    docs += [(900, " ".join(["ha"] * 20)), (901, " ".join("abc" * 9)), (902, ""), (903, " ".join(items[0]) + " " + " ".join(items[1]))]
+    want = {(i, d): (len(s), round(max(s), 9)) for i, w in enumerate(items) for d, t in docs if (s := shares(" ".join(w), t))}
+    dd = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.item_id, r.doc_id): (r.windows, round(r.similarity, 9)) for r in leaks.leaks(dd, ii, least=0.8).collect()}
+    assert got == want and sum(s < 1 for _, s in want.values()) > 20
+
+
 # ---- languages
 
 TEMPLATES = {
