@@ -10,10 +10,12 @@ and second-best sizes lie close together is rejected and takes the language of i
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -66,11 +68,28 @@ def _codes(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: code_of(x) if isinstance(x, str) else None)
 
 
+# Closing marks that need white space (or closing quotation marks) after them, those that don't,
+# and quotation marks and brackets that may stand after either; in Greek the semicolon asks.
+_STOPS, _FULL_STOPS, _CLOSERS = ".!?؟۔", "।॥。！？｡๚๛", "\"”“’‘)\\]»«》」』"
+_ASKS = r"[;\u037e](?<=[Ͱ-Ͽἀ-῿].)"
+_AFTER = rf"(?=[{_CLOSERS}]*(?:\s|$))"
 _QUOTED = re.compile(r"[“„«《「『][^”“»》」』\n]{0,300}[”“»》」』]|(?<![\w])\"[^\"\n]{0,300}\"(?!\w)")
-_BREAK = re.compile(r"(?:[.!?](?=[\"”’)\]»]*(?:\s|$))|[।。！？])[.!?।。！？]*[\"”’)\]»]*\s*|\n[^\S\n]*\n\s*")
-_ENDS = re.compile(r"[.!?।。！？][\"”’)\]\s]*$")
-#: Words; a letter of a script that puts no spaces between words is one of its own.
-_TOKEN = re.compile(r"[぀-鿿฀-๿]|[^\W\d_぀-鿿฀-๿]{2,}")
+_BREAK = re.compile(rf"(?=[{_STOPS}{_FULL_STOPS};\u037e\n])(?:(?:[{_STOPS}]|{_ASKS}){_AFTER}|[{_FULL_STOPS}])[{_STOPS}{_FULL_STOPS}]*[{_CLOSERS}]*\s*|\n[^\S\n]*\n\s*")
+_ENDS = re.compile(rf"[{_STOPS}{_FULL_STOPS};\u037e][{_CLOSERS}\s]*$")
+
+
+def _marks(least: int) -> str:
+    """Ranges of combining marks of scripts with spaces, for a character class."""
+    held = [cp for cp in range(least, 0x20000) if unicodedata.category(chr(cp)) in ("Mn", "Mc") and not re.match(f"[{_UNSPACED}]", chr(cp))]
+    runs = [[cp for _, cp in group] for _, group in groupby(enumerate(held), lambda x: x[1] - x[0])]
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+_UNSPACED = "぀-鿿฀-๿"
+_LETTERS, _MARKS = rf"[^\W\d_{_UNSPACED}]", f"[{_marks(0x300)}]"
+#: Words with their vowel signs and other marks; a letter of a script that puts no spaces between words is one of its own.
+#: A letter with a vowel sign is a word; one with an accent that is coded by itself is none, as the composed letter.
+_TOKEN = re.compile(rf"[{_UNSPACED}]|{_LETTERS}{{2,}}(?:{_MARKS}+{_LETTERS}*)*|{_LETTERS}[\u0300-\u036f]*(?:{_LETTERS}|[{_marks(0x370)}])(?:{_LETTERS}|{_MARKS})*")
 _FIGURES = re.compile(r"[-+]?\d[\d.,]*%?|\|")
 
 
@@ -79,22 +98,44 @@ def sentences(text: str) -> Iterator[tuple[int, int, Sentence | None]]:
 
     A single line end may stand inside a sentence.  A whole sentence has its closing mark and at
     least three words (or four letters of a script without spaces) outside quoted titles; other
-    stretches give None.
+    stretches give None.  A quotation that is a whole sentence itself is a stretch of its own.
     """
     at = 0
     for m in _BREAK.finditer(text):
-        found = None
-        if _ENDS.search(m.group()):
-            body = bare(text[at : m.end()])
-            words = _TOKEN.findall(body.lower())
-            if len(words) > 3 or len(words) == 3 and all(len(w) > 1 for w in words):
-                found = body, words
-        yield at, m.end(), found
+        if not _ENDS.search(m.group()):
+            yield at, m.end(), None
+        elif quoted := [q for q in _quotations(text[at : m.end()]) if _ENDS.search(q.group()[:-1]) and _whole(q.group()[1:-1])]:
+            yield from _around(text[at : m.end()], at, [q.span() for q in quoted])
+        else:
+            yield at, m.end(), _whole(text[at : m.end()])
         at = m.end()
     if at < len(text):
         yield at, len(text), None
 
 
+def _around(piece: str, at: int, quoted: list[tuple[int, int]]) -> Iterator[tuple[int, int, Sentence | None]]:
+    """The stretches of a piece with quoted sentences; what stands around them is one sentence, given
+    with its longest part."""
+    edges = [0, *(x for span in quoted for x in span), len(piece)]
+    outer = list(zip(edges[::2], edges[1::2]))
+    longest = max(outer, key=lambda x: x[1] - x[0])
+    rest = _whole(" ".join(piece[a:b] for a, b in outer))
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield at + a, at + b, _whole(piece[a + 1 : b - 1]) if (a, b) in quoted else rest if (a, b) == longest else None
+
+
+def _whole(piece: str) -> Sentence | None:
+    """What is classified of a piece, if it has a sentence's words."""
+    body = bare(piece)
+    words = _TOKEN.findall(body.lower())
+    return (body, words) if len(words) > 3 or len(words) == 3 and all(len(w) > 1 for w in words) else None
+
+
+def _quotations(piece: str) -> Iterator[re.Match]:
+    return _QUOTED.finditer(piece) if any(q in piece for q in "“„«《「『\"") else iter(())
+
+
 def bare(piece: str) -> str:
     """What is classified: without quoted titles, figures and table rules, white space collapsed."""
     if any(q in piece for q in "“„«《「『\""):

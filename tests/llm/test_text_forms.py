@@ -304,6 +304,30 @@ def test_mislabelled(spark, corpus):
     assert languages.fit(d.limit(0)) == {} and languages.mislabelled(languages.labels(d.limit(0), samples)).count() == 0
 
 
+def held(text):
+    got = list(languages.sentences(text))
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+    return [" ".join(x[2][1]) for x in got if x[2]]
+
+
+def test_quoted_sentences_count_and_titles_do_not():
+    french = "nous avons vendu toutes nos usines"
+    for a, b in ("“”", "„“", "«»", '""'):
+        assert held(f"The chair spoke first. {a}Nous avons vendu toutes nos usines.{b} The meeting closed at noon.") == ["the chair spoke first", french, "the meeting closed at noon"]
+        assert held(f"The chair told all of them: {a}Nous avons vendu toutes nos usines.{b}") == ["the chair told all of them", french]
+        assert held(f"The book {a}Nous avons vendu{b} sold well in May.") == ["the book sold well in may"]
+    assert held("He read “Quo vadis?” on the train home.") == ["on the train home"]
+    assert held('"We sold all of our plants." "Did you really sell them?"') == ["we sold all of our plants", "did you really sell them"]
+
+
+def test_words_and_closing_marks_of_other_scripts():
+    assert held("यह मेरी किताब है। वह कल घर आएंगे॥") == ["यह मेरी किताब है", "वह कल घर आएंगे"]
+    assert held("یہ میری کتاب ہے۔ هل قرأت هذا الكتاب؟") == ["یہ میری کتاب ہے", "هل قرأت هذا الكتاب"]
+    assert held("Πού πάμε όλοι αύριο; Δεν ξέρω τίποτα.") == ["πού πάμε όλοι αύριο", "δεν ξέρω τίποτα"]
+    assert held("কাল আমরা বাড়ি যাব।") == ["কাল আমরা বাড়ি যাব"]
+    assert held("a; b à c; d.") == []
+
+
 def test_label_notations():
     assert [languages.code_of(x) for x in ("en", "EN", "eng", "English", "en_IN", "en-GB", "Deutsch", "ger", " fr ", "pt-BR", "Français")] == ["en"] * 6 + ["de", "de", "fr", "pt", "fr"]
     assert [languages.code_of(x) for x in (None, "", "und", "??", "xx", "unknown", "n/a")] == [None] * 7
