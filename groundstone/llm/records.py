@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,18 +22,29 @@ from groundstone.operators.skew import heavy_keys, salted_join
 from groundstone.session import cut
 
 # Punctuation that counts: a point between digits, a minus that begins a number, % and currency
-# signs (which, like other symbols, aren't punctuation in Unicode).
-_DROP = re.compile(
-    r"(?:[\s_!\"#&'()*,/:;?@\[\]\\{}¡§«¶·»¿‐-‧‰-⁞、-〃〈-】〔-〟।॥]"
-    r"|(?<!\d)\.|\.(?!\d)|(?<=\w)[-−]|[-−](?![$₹€£¥]?\.?\d))+"
-)
+# signs (which, like other symbols, aren't punctuation in Unicode), in any width.
+_POINTS, _MINUSES, _PERCENTS = ".．﹒٫", "-−－﹣", "%％﹪٪"
+_PLAIN = str.maketrans(dict.fromkeys(_POINTS, ".") | dict.fromkeys(_MINUSES, "-"))
+_PUNCTUATION = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "P" and c not in _POINTS + _MINUSES + _PERCENTS)
+
+
+def _drop(plain: str) -> re.Pattern:
+    return re.compile(
+        rf"(?:[\s{plain}]"
+        rf"|(?<!\d)[{_POINTS}]|[{_POINTS}](?!\d)|(?<=\w)[{_MINUSES}]|[{_MINUSES}](?![$₹€£¥]?[{_POINTS}]?\d))+"
+    )
+
+
+# the long class is slow, and most texts don't need it
+_DROP, _DROP_ASCII = _drop(_PUNCTUATION + "‰-⁞、-〃〈-】〔-〟"), _drop("_!\"#&'()*,/:;?@\\[\\]\\\\{}")
 
 
 @lru_cache(50_000)
 def leaf_text(text: str) -> str:
     """Without letter case, white space and punctuation."""
-    text = text if text.isascii() else unicodedata.normalize("NFC", text)
-    return _DROP.sub("", text.casefold()).replace("−", "-")
+    if text.isascii():
+        return _DROP_ASCII.sub("", text.casefold())
+    return _DROP.sub("", unicodedata.normalize("NFC", text).casefold()).translate(_PLAIN)
 
 
 @lru_cache(10_000)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -27,6 +28,13 @@ def test_leaf_text():
         assert records.leaf_text(a) == b
 
 
+def test_leaf_text_ignores_all_punctuation():
+    for a, b in (("甲，乙（丙）：丁；戊！己？", "甲乙丙丁戊己"), ("ا، ب", "اب"), ("5．5，", "5.5"), ("x－5", "x5"), ("x: －5", "x-5"), ("5％", "5％"), ("end．", "end"), ("€5 + £3", "€5+£3")):
+        assert records.leaf_text(a) == b
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "P" and chr(c) not in "%％﹪٪"]
+    assert not records.leaf_text(" ".join(every))
+
+
 def test_copies(facts, rows):
     every = [(t, json.dumps(p, indent=i) if p is not None else None) for i, (t, p) in enumerate([*SAME, *OTHER])]
     data = [(f"f{i}", p, {"canonical_text": t}) for i, (t, p) in enumerate(every)]
