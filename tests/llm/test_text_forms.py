@@ -332,3 +332,28 @@ def test_label_notations():
     assert [languages.code_of(x) for x in ("en", "EN", "eng", "English", "en_IN", "en-GB", "Deutsch", "ger", " fr ", "pt-BR", "Français")] == ["en"] * 6 + ["de", "de", "fr", "pt", "fr"]
     assert [languages.code_of(x) for x in (None, "", "und", "??", "xx", "unknown", "n/a")] == [None] * 7
     assert languages.code_of("klingon") == "klingon"
+
+
+def test_undetermined_is_right_for_figures_and_capitals_tell_nothing(spark, corpus):
+    rows, _ = corpus
+    figures = "2020 | 1,234 | 5.6%\n2021 | 2 | 7.0%"
+    rnd = random.Random(8)
+    d = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    samples = languages.fit(d)
+    more = [(1, figures, "und"), (2, figures, " UND "), (3, figures, None), (4, figures, "fr"), (5, " ".join(sentence(rnd, "en") for _ in range(3)), "und")]
+    more += [(100 + k, " ".join(sentence(rnd, lang) for _ in range(3)).upper(), lang) for k, lang in enumerate(list(TEMPLATES) * 8)]
+    got = languages.mislabelled(languages.labels(spark.createDataFrame(more, "doc_id bigint, text string, lang string"), samples)).collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(3, "und"), (4, "und"), (5, "en")]
+
+
+def test_margin_is_over_all_languages():
+    rnd = random.Random(9)
+    c = languages.Classifier({lang: [sentence(rnd, lang).lower() for _ in range(60)] for lang in TEMPLATES})
+    asked = [languages._whole(sentence(rnd, lang)) for lang in TEMPLATES for _ in range(20)]
+    got, margin = c.best(asked)
+    for s, lang, m in zip(asked, got, margin):
+        data = s[0].encode()
+        sizes = {level: sorted((max(len(f(data)) - 6, 1), code) for f, code in zip(held, c.codes)) for level, held in (("quick", c.quick), ("fine", c.fine))}
+        share = {k: (v[1][0] - v[0][0]) / v[0][0] for k, v in sizes.items()}
+        level = "fine" if share["quick"] < languages.CLOSE else "quick"
+        assert m == share[level] and lang in {x for n, x in sizes[level] if n == sizes[level][0][0]}
