@@ -29,7 +29,9 @@ _SPACES = re.compile(r"\s+")
 # Words before an approximate figure.
 _ABOUT = r"(?:about|approximately|approx\.?|around|circa|roughly|nearly|almost|over|under|more than|less than|at least|up to|some|ca\.?|c\.|~|≈|<|>|±)"
 _CURRENCY = r"(?:us\s?\$|us\s?dollars?|usd|inr|eur|gbp|jpy|rs\.?|rupees?|₹|\$|€|£|¥)"
-NUMBER = r"\d{1,3}(?:[,\s]\d{2,3})+(?![\d,])(?:\.\d+)?|\d+(?:,\d+)*(?:\.\d+)?|\.\d+"
+NUMBER = r"\d{1,3}(?:[.\s]\d{3})+,\d+(?![\d.,])|\d{1,3}(?:\.\d{3}){2,}(?![\d.])|\d{1,3}(?:[,\s]\d{2,3})+(?![\d,])(?:\.\d+)?|\d+(?:,\d+)*(?:\.\d+)?|\.\d+"
+#: What ends the words that belong to a number.
+_CLAUSE_END = re.compile(r"\s*(?:;|[.!?]\s+(?=[A-Z])|\n\s*\n)")
 _QUANTITY = re.compile(rf"^\s*(?:{_ABOUT}\s*)*(?P<cur>{_CURRENCY})?\s*(?P<sign>[-−+]?)\s*(?P<cur2>{_CURRENCY})?\s*(?P<num>{NUMBER})(?P<rest>.*)$", re.I | re.S)
 
 # The months.
@@ -155,8 +157,26 @@ def is_placeholder(text: str) -> bool:
     return low in PLACEHOLDERS or low.rstrip(". ") in PLACEHOLDERS or bool(_POINTER.fullmatch(low))
 
 
+def number_of(printed: str) -> float:
+    """The number that printed digits state.
+
+    Groups may be parted by commas, spaces or, before a decimal comma, points.  A single comma is a
+    decimal comma where no group of three digits follows it, or only a zero stands before it.
+    """
+    t = re.sub(r"\s", "", printed)
+    comma, point = t.rfind(","), t.rfind(".")
+    if t.count(".") > 1 or 0 <= point < comma:
+        t = t.replace(".", "").replace(",", ".")
+    elif point < 0 and t.count(",") == 1 and (len(t) - comma != 4 or t.startswith("0,")):
+        t = t.replace(",", ".")
+    return float(t.replace(",", ""))
+
+
 def quantity(value: object) -> tuple[float, str, str] | None:
-    """Number, printed digits and the text around it that may hold a unit; None if it is no quantity."""
+    """Number, printed digits and the text around it that may hold a unit; None if it is no quantity.
+
+    The text is the rest of the number's clause, however long.
+    """
     if isinstance(value, bool) or value is None:
         return None
     if isinstance(value, (int, float)):
@@ -164,10 +184,10 @@ def quantity(value: object) -> tuple[float, str, str] | None:
     text = bare(str(value))
     if is_placeholder(text) or not (m := _QUANTITY.match(text)):
         return None
-    rest = m["rest"].strip()
-    if rest and (rest[0].isalnum() and m["rest"][0] == rest[0] and len(rest) > 1 and any(c.isdigit() for c in rest[1:]) or len(rest) > 40):
-        return None  # a code such as 24A-77, or prose
-    number = float(re.sub(r"[,\s]", "", m["num"]))
+    rest = _CLAUSE_END.split(m["rest"].strip(), maxsplit=1)[0]
+    if rest and rest[0].isalnum() and m["rest"][0] == rest[0] and len(rest) > 1 and any(c.isdigit() for c in rest[1:].split(" ", 1)[0]):
+        return None  # a code such as 24A-77
+    number = number_of(m["num"])
     return -number if m["sign"] in ("-", "−") and m["sign"] else number, m["num"], " ".join(x for x in (m["cur"] or m["cur2"] or "", rest) if x)
 
 

@@ -10,12 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from groundstone.operators.factcells import attribute_parts, bare, clean, identity, opened, quantity
+from groundstone.operators.skew import weighed_keys, salted_join
 
 #: The unit table is broadcast; a table of more units than this is refused.
 MAX_UNITS = 10_000
 
 # Spellings of scale words and of the currencies of the unit table.
-SCALE_WORDS = {"thousand": ["thousand", "'000", "000s", "000", "k"], "lakh": ["lakh", "lakhs", "lac", "lacs"], "million": ["million", "millions", "mn", "mio", "mm", "m"], "crore": ["crore", "crores", "cr", "crs"], "billion": ["billion", "billions", "bn", "b"]}
+SCALE_WORDS = {
+    "thousand": ["thousand", "thousands", "thousands of", "'000", "'000s", "000s", "000", "k"], "lakh": ["lakh", "lakhs", "lakhs of", "lac", "lacs"], "million": ["million", "millions", "millions of", "mn", "mio", "mm", "m"],
+    "crore": ["crore", "crores", "crores of", "cr", "crs"], "billion": ["billion", "billions", "billions of", "bn", "b"],
+}
 CURRENCY_WORDS = {"INR": ["₹", "rs", "inr", "re", "rupee", "rupees", "indian rupees"], "USD": ["$", "us$", "us $", "usd", "dollar", "dollars", "us dollars", "us dollar"]}
 
 # Spellings of the other units of the unit table, in the form that ``plain`` gives.
@@ -61,6 +65,10 @@ SHORT_SCALED = {"million tonne": "mmt,megatonne,megatonnes", "thousand tonne": "
 CASED = {"Mt": "million tonne"}
 
 
+#: Characters that ``plain`` makes a space of.
+_PARTING = ".,;:()[]{}\"“”-–—_/'’‘`"
+
+
 def plain(text: str) -> str:
     """Compatibility form, lower case, without dots, brackets, quotes and hyphens."""
     text = clean(text).lower().replace("’", "'").replace("‘", "'").replace("`", "'")
@@ -108,6 +116,10 @@ class UnitFinder:
             self.automaton.add_word(w, w)
         self.automaton.make_automaton()
         self.units = set(units)
+        #: Words of the longest spelling: so many beside a number are looked at.
+        self.most = max((w.count(" ") + 1 for w in self.words), default=0)
+        parting = rf"[\s{re.escape(_PARTING)}]"
+        self.following = re.compile(rf"(?:{parting}*[^\s{re.escape(_PARTING)}]+){{0,{self.most}}}")
         self.of = lru_cache(200_000)(self._of)
 
     def matches(self, text: str) -> list[tuple[int, int, str]]:
@@ -135,17 +147,29 @@ class UnitFinder:
             return ()
         return tuple(self.words[max(found, key=lambda m: (m[1] - m[0], -m[0]))[2]])
 
+    def preceding(self, text: str, end: int) -> str:
+        """The words before a place, as many as the longest spelling has."""
+        at, n, inside = end, 0, False
+        while at > 0:
+            apart = text[at - 1].isspace() or text[at - 1] in _PARTING
+            if not apart and not inside:
+                if n == self.most:
+                    break
+                n += 1
+            inside = not apart
+            at -= 1
+        return text[at:end]
+
     def beside(self, printed: str, text: str) -> tuple[str, ...]:
         """Units next to the printed number in a longer text."""
         text = clean(text)
         for m in re.finditer(r"(?<![\d.,])" + re.escape(printed) + r"(?![\d]|[.,]\d)", text):
-            tail = text[m.end() : m.end() + 40]
+            tail = self.following.match(text, m.end())[0]
             word = re.match(r"\s*([A-Za-z]+)\b", tail)
             if word and word[1] in CASED and CASED[word[1]] in self.units:
                 return (CASED[word[1]],)
-            tail = plain(tail)
+            tail, head = plain(tail), plain(self.preceding(text, m.start()))
             after = [x for x in self.matches(tail) if x[0] == 0]
-            head = plain(text[max(0, m.start() - 16) : m.start()])
             before = [x for x in self.matches(head) if x[1] == len(head)]
             if after and before and plain(max(before)[2]) in {w for ws in CURRENCY_WORDS.values() for w in ws}:
                 both = self._of(f"{max(before, key=lambda x: x[1] - x[0])[2]} {max(after, key=lambda x: x[1])[2]}")
@@ -167,8 +191,16 @@ def announced(qualifier: object) -> str:
     return next((g for g in m.groups() if g), "") if m else ""
 
 
-def stated_units(facts: DataFrame, units: list[str]) -> DataFrame:
+def _printed(number: float, printed: str, column: float | None) -> float:
+    """The number as read, unless the column has the other reading of a single comma ("1,234")."""
+    if column is not None and column == column and re.fullmatch(r"\d{1,3},\d{3}", printed) and abs(abs(column) - abs(number) / 1000) <= 1e-3 * abs(column):
+        return number / 1000
+    return number
+
+
+def stated_units(facts: DataFrame, units: list[str], attributes: set[str] | None = None) -> DataFrame:
     """One row per fact with a number and a unit: id, entity, attribute, period, value, candidates.
+    ``attributes``: of these only.
 
     The unit is looked for where it is most closely tied to the number: the value's own text, the
     payload's unit, the unit column, a bracket after the attribute's name, the qualifier that
@@ -181,11 +213,15 @@ def stated_units(facts: DataFrame, units: list[str]) -> DataFrame:
             out = []
             for i, key, scope, payload, num, unit, text in zip(b.id, b.canonical_key, b.time_scope, b.payload_json, b.value_num, b.unit, b.canonical_text):
                 d = opened(payload)
+                who = identity(key, scope, d)
+                if attributes is not None and who[1] not in attributes:
+                    continue
                 q = quantity(d.get("value"))
                 if q is None:
                     if d.get("value") is not None or num != num:
                         continue
                     q = float(num), f"{num:g}", ""
+                q = _printed(q[0], q[1], num), *q[1:]
                 found = finder.of(q[2]) if q[2] else ()
                 own = d.get("unit")
                 if not found and unit and (own is None or plain(str(own)) == plain(unit)):
@@ -203,7 +239,7 @@ def stated_units(facts: DataFrame, units: list[str]) -> DataFrame:
                 if not found:
                     found = finder.beside(q[1], str(d.get("sourcequote") or "")) or finder.beside(q[1], text or "")
                 if found:
-                    out.append((i, *identity(key, scope, d), q[0], list(found)))
+                    out.append((i, *who, q[0], list(found)))
             yield pd.DataFrame(out, columns=["id", "entity", "attribute", "period", "value", "candidates"])
 
     narrow = facts.select("id", "canonical_key", "time_scope", "payload_json", F.col("value_num").cast("double"), "unit", "canonical_text").where("id is not null")
@@ -218,21 +254,21 @@ def unit_rows(reference: DataFrame) -> list:
     return sorted(rows, key=lambda r: r.unit_name)
 
 
-def in_base_units(facts: DataFrame, reference: DataFrame) -> DataFrame:
+def in_base_units(facts: DataFrame, reference: DataFrame, attributes: set[str] | None = None) -> DataFrame:
     """One row per fact whose quantity has a unit of the table: id, entity, attribute, period, value,
     unit_name, dimension, base_unit, base_value.
 
     A spelling that can mean several units takes the one of the attribute's usual dimension (counted
     over all facts whose unit is certain).  Facts without a number or a known unit give no row; a
     fact delivered twice gives one.  Conversion factors are joined from the broadcast unit table,
-    whose size is checked.
+    whose size is checked.  ``attributes``: of facts of these only.
     """
     rows = unit_rows(reference)
     spark = facts.sparkSession
     table = spark.createDataFrame([tuple(r) for r in rows], "unit_name string, dimension string, base_unit string, factor double, offset_value double")
     words = aliases([r.unit_name for r in rows])
     dims = {r.unit_name: r.dimension for r in rows}
-    found = stated_units(facts, [r.unit_name for r in rows])
+    found = stated_units(facts, [r.unit_name for r in rows], attributes)
     if any(len({dims[u] for u in us}) > 1 for us in words.values()):
         # only spellings that can mean units of several dimensions need the attribute's usual one
         certain = found.where(F.size("candidates") == 1).select("attribute", F.col("candidates")[0].alias("unit_name"))
@@ -247,18 +283,32 @@ def in_base_units(facts: DataFrame, reference: DataFrame) -> DataFrame:
 def same_measure(quantities: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """Pairs of facts of one entity, attribute and period that state one quantity in different units.
 
-    Values are banded on a logarithmic scale whose step is the tolerance, so only neighbouring bands
-    meet: an equi-join on entity, attribute, period, dimension and band, never all pairs of a group.
-    Pairs have the smaller id first.  Zero matches zero only.
+    Facts that state the same (entity, attribute, period, unit and value) are one class, so a group of
+    copies costs one row.  Classes are banded on a logarithmic scale whose step is the tolerance, so
+    only neighbouring bands meet: an equi-join, never all pairs of a group.  The pairs of classes are
+    then expanded to facts, heavy classes spread over tasks.  Pairs have the smaller id first.  Zero
+    matches zero only.
     """
     import math
 
     step = -math.log1p(-tolerance) * 1.0001
+    stated = ["entity", "attribute", "period", "dimension", "unit_name", "base_value"]
+    fine = quantities.where("base_value is not null and not isnan(base_value)")
+    # two hashes with different starts name a class; the join on bands carries the full key
+    names = [F.xxhash64(F.lit(i), *stated).alias(f"c{i}") for i in (0, 1)]
+    members = fine.select("id", *names)
+    classes = fine.groupBy(*stated).agg(F.count("*").alias("n")).select("*", *names)
     band = F.when(F.col("base_value") == 0, F.lit(None)).otherwise(F.floor(F.log(F.abs("base_value")) / step).cast("bigint"))
-    q = quantities.where("base_value is not null and not isnan(base_value)").select("id", "entity", "attribute", "period", "dimension", "unit_name", "base_value", F.signum("base_value").cast("int").alias("sign"), F.coalesce(band, F.lit(0)).alias("band"))
+    q = classes.select("c0", "c1", "n", *stated, F.signum("base_value").cast("int").alias("sign"), F.coalesce(band, F.lit(0)).alias("band"))
     right = q.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     keys = ["entity", "attribute", "period", "dimension", "sign", "band"]
     a, b = q.alias("a"), right.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     near = F.abs(F.col("a.base_value") - F.col("b.base_value")) <= tolerance * F.greatest(F.abs("a.base_value"), F.abs("b.base_value"))
-    return a.join(b, [*on, F.col("a.id") < F.col("b.id"), F.col("a.unit_name") != F.col("b.unit_name"), near]).select(F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"))
+    pairs = a.join(b, [*on, F.col("a.unit_name") < F.col("b.unit_name"), near]).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("c0", "c1")])
+    heavy = weighed_keys(classes, ["c0", "c1"])
+    side = lambda s: members.select(F.col("id").alias(f"{s}_id"), F.col("c0").alias(f"{s}c0"), F.col("c1").alias(f"{s}c1"))
+    weight = lambda s: heavy.withColumnsRenamed({"c0": f"{s}c0", "c1": f"{s}c1"})
+    half = salted_join(side("a"), pairs, ["ac0", "ac1"], F.col("a_id"), weight("a"))
+    both = salted_join(half, side("b"), ["bc0", "bc1"], F.col("a_id"), weight("b"))
+    return both.select(F.least("a_id", "b_id").alias("fact_a_id"), F.greatest("a_id", "b_id").alias("fact_b_id"))

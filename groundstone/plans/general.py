@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundstone.operators import units, wide
+from groundstone.session import cut
 from groundstone.tables import table
 
 
@@ -24,9 +25,10 @@ def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Facts that state one quantity in different units."""
     catalog = table(spark, folder, "attribute_catalog").where("value_type = 'double'")
-    doubles = sorted(a for a, k in wide.catalog_of(catalog).items() if k == "double")
-    base = units.in_base_units(table(spark, folder, "facts"), table(spark, folder, "unit_reference"))
-    return units.same_measure(base.where(base.attribute.isin(doubles)))
+    doubles = {a for a, k in wide.catalog_of(catalog).items() if k == "double"}
+    base = units.in_base_units(table(spark, folder, "facts"), table(spark, folder, "unit_reference"), doubles)
+    # written once: classes, members and their joins read it
+    return units.same_measure(cut(base, "base-units"))
 
 
 def p7_base_units(spark: SparkSession, folder: str) -> DataFrame:

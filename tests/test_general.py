@@ -104,3 +104,33 @@ def test_too_many_units_are_refused(spark, reference, monkeypatch):
     monkeypatch.setattr(units, "MAX_UNITS", 3)
     with pytest.raises(ValueError):
         units.unit_rows(reference)
+
+
+@pytest.mark.parametrize("printed, want", [("1,234", 1234.0), ("1,23,456", 123456.0), ("9.168,5", 9168.5), ("1.234.567", 1234567.0), ("1.234.567,8", 1234567.8), ("1,6952", 1.6952), ("12,5", 12.5), ("0,861", 0.861), ("1,234.5", 1234.5), ("1 234,5", 1234.5), (".5", 0.5)])
+def test_number_of(printed, want):
+    assert factcells.number_of(printed) == want
+    assert factcells.quantity(f"about {printed} tonnes")[0] == want
+
+
+def test_long_texts_keep_their_quantity(facts, reference):
+    said = "5 (in millions of metric tonnes, excluding exports and whatever the subsidiaries abroad reported late)"
+    far = "The figure of " + "very " * 50 + "many pages comes last: revenue of the company in millions of rupees, 5 million pounds weight."
+    d = facts(("a", body("freight", said), {}), ("b", body("freight", "9.168,5", unit="kg"), {}), ("c", body("freight", "1,234", unit="kg"), {"value_num": 1.234}), ("d", body("freight", "5", source_quote=far), {}))
+    got = {r.id: (r.unit_name, r.value) for r in units.in_base_units(d, reference).collect()}
+    assert got["a"] == ("million tonne", 5.0) and got["b"] == ("kilogram", 9168.5) and got["c"] == ("kilogram", 1.234) and "d" in got
+
+
+def test_spelling_of_two_dimensions_takes_the_attributes_usual_one(spark, facts):
+    table = spark.createDataFrame([("pound", "mass", "pound", 1.0, 0.0), ("Pound", "money", "Pound", 1.0, 0.0), ("kilogram", "mass", "pound", 2.2, 0.0)], "unit_name string, dimension string, base_unit string, factor double, offset_value double")
+    d = facts(*[(f"k{i}", body("freight", "5", unit="kg"), {}) for i in range(3)], ("p", body("freight", "7", unit="pounds"), {}), ("q", body("freight", "7", unit="pound"), {}))
+    got = {r.id: r.unit_name for r in units.in_base_units(d, table).collect()}
+    assert got["q"] == "pound" and got["p"] == "pound"
+
+
+def test_copies_of_one_measure_are_one_class(spark, rows, monkeypatch):
+    from groundstone.operators import skew
+
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 10)
+    data = [(f"a{i:03}", "e", "x", "", "mass", "kilogram", 1000.0) for i in range(40)] + [(f"b{i:03}", "e", "x", "", "mass", "tonne", 1001.0) for i in range(15)]
+    q = spark.createDataFrame(data, "id string, entity string, attribute string, period string, dimension string, unit_name string, base_value double")
+    assert rows(units.same_measure(q)) == [(f"a{i:03}", f"b{j:03}") for i in range(40) for j in range(15)]
