@@ -159,6 +159,33 @@ def test_recall_without_a_floor(spark, cloud):
     assert np.mean([len(got[i] & set(want[i])) / 5 for i in got]) >= 0.9
 
 
+@pytest.mark.parametrize("top", [64, 4])
+def test_recall_across_cells(spark, cloud, monkeypatch, top):
+    """Sixteen cells, in one level and in two, and several tasks a cell."""
+    ids, x = cloud
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 250)
+    monkeypatch.setattr(neighbours, "TOP_CELLS", top)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 400)
+    d = frame(spark, ids, x)
+    rows = neighbours.proper_vectors(d, "m", 16).where("vec is not null")
+    tree = neighbours.fit_cells(rows, len(x), 16)
+    assert tree.count == 16 and len(tree.below) == (4 if top == 4 else 0)
+    points = x.astype(np.float32) @ neighbours.projection(16)
+    home = tree.of(points)
+    assert np.bincount(home, minlength=16).min() > 100 and np.bincount(home).max() < 450
+    reached = {(c, r) for c, held in tree.reached(points, np.zeros(len(points), np.float32)) for r in held.tolist()}
+    assert {(c, r) for r, c in enumerate(home.tolist())} <= reached
+    want = {(a, b) for a, near in exact(ids, x, 5, 0.9).items() for b in near}
+    pairs = {(r.fact_id, r.other_id) for r in neighbours.nearest(d, 5, "m", 16, floor=0.9).collect()}
+    apart = {(a, b) for a, b in want if home[int(a[5:], 16)] != home[int(b[5:], 16)]}
+    assert len(want & pairs) / len(want) >= 0.95 and len(apart & pairs) / len(apart) >= 0.95 and len(apart) > 200
+    got = {}
+    for r in neighbours.nearest(d, 5, "m", 16, every=50).collect():
+        got.setdefault(r.fact_id, set()).add(r.other_id)
+    open_ = exact(ids, x, 5, every=50)
+    assert set(got) == set(open_) and np.mean([len(got[i] & set(open_[i])) / 5 for i in got]) >= 0.95
+
+
 def test_copies_and_improper_vectors(spark):
     nan, inf = float("nan"), float("inf")
     good = {"a": [1.0, 0.0], "b": [2.0, 0.0], "c": [1.0, 0.0], "d": [3.0, 0.1], "e": [0.0, 1.0], "f": [-1.0, 0.0]}
