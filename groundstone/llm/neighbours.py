@@ -32,7 +32,7 @@ from groundstone.session import cut
 PROJECTED, STOP, SEED = 6, 0.90, 20_24
 #: Rows of a cell (their number grows with the collection), rows of a leaf, and the queries that
 #: search a cell in one task (a cell with more is sent to several tasks).
-CELL_ROWS, LEAF_ROWS, QUERY_ROWS = 50_000, 256, 40_000
+CELL_ROWS, LEAF_ROWS, QUERY_ROWS = 50_000, 256, 80_000
 #: Cells that the first level of the tree has at most, and rows of each sample that fits a level.
 TOP_CELLS, SAMPLE_ROWS = 512, 20_000
 #: Queries that take their leaves together, and directed pairs held in a task before they are cut
@@ -290,21 +290,25 @@ def fit_cells(classes: DataFrame, total: int, dim: int) -> Tree:
     count = 1 << max(0, math.ceil(math.log2(max(1.0, total / CELL_ROWS))))
     first = min(count, TOP_CELLS)
 
+    def project(vec: pd.Series) -> pd.Series:
+        return pd.Series([p.tobytes() for p in _unpacked(vec, dim) @ a])
+
     def sampled(share: int) -> DataFrame:
-        return classes.where(F.pmod(F.xxhash64("class"), F.lit(max(1, share))) == 0).select("vec")
+        rows = classes.where(F.pmod(F.xxhash64("class"), F.lit(max(1, share))) == 0)
+        return rows.select(F.pandas_udf(project, "binary")("vec").alias("point"))
 
     rows = sampled(total // SAMPLE_ROWS).limit(SAMPLE_ROWS).collect() if count > 1 else []
-    top = Cells(_unpacked([bytes(r.vec) for r in rows], dim) @ a if rows else np.zeros((0, PROJECTED), np.float32), first)
+    top = Cells(_unpacked([bytes(r.point) for r in rows], PROJECTED), first)
     if count == first:
         return Tree(top, {})
 
-    def cell_of(vec: pd.Series) -> pd.Series:
-        return pd.Series(top.of(_unpacked(vec, dim) @ a))
+    def cell_of(point: pd.Series) -> pd.Series:
+        return pd.Series(top.of(_unpacked(point, PROJECTED)))
 
     def fit(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cell": b.cell.iloc[:1], "splits": [pickle.dumps(Cells(_unpacked(b.vec.head(SAMPLE_ROWS), dim) @ a, count // first))]})
+        return pd.DataFrame({"cell": b.cell.iloc[:1], "splits": [pickle.dumps(Cells(_unpacked(b.point.head(SAMPLE_ROWS), PROJECTED), count // first))]})
 
-    second = sampled(total // (SAMPLE_ROWS * first)).withColumn("cell", F.pandas_udf(cell_of, "int")("vec")).groupBy("cell").applyInPandas(fit, "cell int, splits binary").collect()
+    second = sampled(total // (SAMPLE_ROWS * first)).withColumn("cell", F.pandas_udf(cell_of, "int")("point")).groupBy("cell").applyInPandas(fit, "cell int, splits binary").collect()
     return Tree(top, {r.cell: pickle.loads(bytes(r.splits)) for r in second})
 
 
@@ -327,10 +331,11 @@ def class_neighbours(classes: DataFrame, total: int, k: int, dim: int, floor: fl
     limit = chi_square_quantile(stop, PROJECTED)
     Guests = Callable[[pd.DataFrame, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]
 
-    def later(b: pd.DataFrame, points: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Cells after its own that a row must visit: a pair of cells meets once."""
+    def once(b: pd.DataFrame, points: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Cells that a row must visit; a pair of cells meets once, so that all get as many guests."""
         for c, rows in tree.reached(points, np.full(len(b), (2 - 2 * floor) * limit, np.float32)):
-            yield c, rows[home[rows] < c]
+            h = home[rows]
+            yield c, rows[(h != c) & ((h < c) == ((h + c) % 2 == 1))]
 
     def others(b: pd.DataFrame, points: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Cells other than its own that may hold a vector nearer than the k-th found at home."""
@@ -402,7 +407,7 @@ def class_neighbours(classes: DataFrame, total: int, k: int, dim: int, floor: fl
     free = F.lit(-1.0).cast("float").alias("bound")
     if floor is not None:
         everyone = classes.select("class", "vec", F.lit(1).alias("role"), free)
-        found = searched(everyone.mapInPandas(spread(later, tasks(everyone, later, True), True), _PLACED))
+        found = searched(everyone.mapInPandas(spread(once, tasks(everyone, once, True), True), _PLACED))
     else:
         marked = cut(classes.join(asked.select("class", F.lit(1).alias("role")), "class", "left").select("class", "vec", F.coalesce("role", F.lit(0)).alias("role"), free), "marked")
         near = cut(searched(marked.mapInPandas(spread(nobody, tasks(marked, nobody, True), True), _PLACED)), "near")
