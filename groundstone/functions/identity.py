@@ -37,28 +37,23 @@ def canonical_text(subject: Column, attribute: Column, value: Column, unit: Colu
     return F.concat(head, F.when(tail == "", "").otherwise(F.concat(F.lit(": "), tail)), F.when(here(scope) == "", "").otherwise(F.concat(F.lit(" ["), scope, F.lit("]"))))
 
 
+# Fixed value: a period without white space and points: part of a year, fiscal mark, year or span of years, or other words.
+PERIOD = r"^(?:(q[1-4]|h[12])[-/]?)?(fy)?(?:([0-9]{2,4})(?:[-/]([0-9]{2,4}))?|(.*))$"
+FISCAL_WORDS = ["financialyear", "fiscalyear"]
+
+
 def period(raw: Column) -> Column:
     """Canonical period: spellings of one fiscal year are one, a bare year stays a calendar year."""
-    t = F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), SPACES, "")
-    t = F.replace(F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit("financialyear"), F.lit("fy")), F.lit("fiscalyear"), F.lit("fy"))
-    part = F.regexp_extract(t, "^(q[1-4]|h[12])", 1)
-    rest = F.when(part == "", t).otherwise(F.regexp_replace(t, "^(?:q[1-4]|h[12])[-/]?", ""))
-    prefix = F.when(part == "", "").otherwise(F.concat(part, F.lit("-")))
-    fiscal = (part != "") | rest.startswith("fy")
-    year = F.regexp_replace(rest, "^fy", "")
-    a, b = (F.try_element_at(F.split(F.regexp_extract(year, "^([0-9]{2,4}[-/][0-9]{2,4})$", 1), "[-/]"), F.lit(i)) for i in (1, 2))
-    full = lambda c: F.when(c.cast("int") < 100, c.cast("int") + 2000).otherwise(c.cast("int"))
-    a4, b4 = full(F.nullif(a, F.lit(""))), b.cast("int")
-    short = F.floor(a4 / 100) * 100 + b4
-    end = F.when(F.length(b) > 2, b4).otherwise(F.when(short <= a4, short + 100).otherwise(short)).cast("int")
-    bare = F.nullif(F.regexp_extract(year, "^([0-9]{2,4})$", 1), F.lit(""))
-    return (
-        F.when(t == "", "")
-        .when(b.isNotNull(), F.concat(prefix, F.lit("fy"), end.cast("string")))
-        .when(bare.isNotNull() & fiscal, F.concat(prefix, F.lit("fy"), full(bare).cast("string")))
-        .when(bare.isNotNull(), F.concat(F.lit("cy"), full(bare).cast("string")))
-        .otherwise(F.concat(prefix, year))
-    )
+    t = F.replace(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), SPACES, ""), F.lit("."), F.lit(""))
+    t = F.regexp_replace(t, "|".join(FISCAL_WORDS), "fy")
+    part, fiscal, first, last, other = (F.regexp_extract(t, PERIOD, i) for i in range(1, 6))
+    year = F.nullif(first, F.lit("")).cast("int")
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    end = F.nullif(last, F.lit("")).cast("int")
+    near = year - year % 100 + end
+    end = F.when(F.length(last) > 2, end).otherwise(F.when(near <= year, near + 100).otherwise(near))
+    name = F.when((part != "") | (fiscal != "") | (last != ""), "fy").otherwise("cy")
+    return F.concat(F.when(part == "", "").otherwise(F.concat(part, F.lit("-"))), F.when(first == "", other).otherwise(F.concat(name, F.coalesce(end, year).cast("string"))))
 
 
 def shown(c: Column) -> Column:

@@ -13,7 +13,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from groundstone.functions.identity import STOPWORDS
+from groundstone.functions.identity import FISCAL_WORDS, PERIOD, STOPWORDS
 
 # What is written where no value is known.
 PLACEHOLDERS = frozenset(
@@ -63,23 +63,15 @@ def period(raw: str | None) -> str:
     """Canonical period: ``fy2025``, ``cy2024``, ``q4-fy2024``; '' where there is none."""
     if not raw or bare(raw).lower() in PLACEHOLDERS:
         return ""
-    t = re.sub(r"[\s.]", "", bare(raw).lower()).replace("financialyear", "fy").replace("fiscalyear", "fy")
-    part = re.match(r"([qh])(\d)[-/]?", t)
-    if part and (int(part[2]) in (1, 2) or part[1] == "q" and int(part[2]) in (3, 4)):
-        head, t = f"{part[1]}{part[2]}-", t[part.end() :]
-    else:
-        head = ""
-    fiscal, t = bool(head) or t.startswith("fy"), t.removeprefix("fy")
-    full = lambda y: int(y) + 2000 * (int(y) < 100)
-    if span := re.fullmatch(r"([0-9]{2,4})[-/]([0-9]{2,4})", t):
-        start, end = full(span[1]), int(span[2])
-        if len(span[2]) == 2:
-            end += start // 100 * 100
-            end += 100 * (end <= start)
-        return f"{head}fy{end}"
-    if re.fullmatch(r"[0-9]{2,4}", t):
-        return f"{head}fy{full(t)}" if fiscal else f"cy{full(t)}"
-    return head + t
+    t = re.sub("|".join(FISCAL_WORDS), "fy", re.sub(r"[\s.]", "", bare(raw).lower()))
+    part, fiscal, first, last, other = re.match(PERIOD, t).groups(default="")
+    if first:
+        year = int(first) + 2000 * (int(first) < 100)
+        if last:
+            end = int(last) if len(last) > 2 else year - year % 100 + int(last)
+            year = end if len(last) > 2 or end > year else end + 100
+        other = f"{'fy' if part or fiscal or last else 'cy'}{year}"
+    return f"{part}-{other}" if part else other
 
 
 def bare(text: str) -> str:
