@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from groundstone.operators.skew import heavy_keys, salted_join
+from groundstone.operators.skew import weighed_keys, salted_join
 from groundstone.session import cut
 
 #: Rounds before giving up; 2^-90 of the edges remain by then.
@@ -26,9 +26,9 @@ def _hooks(edges: DataFrame, round_no: int) -> DataFrame:
 
 
 def _relabelled(edges: DataFrame, hooks: DataFrame) -> DataFrame:
-    heavy = heavy_keys(hooks, ["v"])
+    heavy = weighed_keys(hooks, ["v"])
     named = lambda c: hooks.select(F.col("v").alias(c), F.col("rep").alias(f"r{c}"))
-    flag = lambda c: heavy.select(F.col("v").alias(c))
+    flag = lambda c: heavy.withColumnRenamed("v", c)
     one = salted_join(edges, named("u"), ["u"], F.col("v"), flag("u")).select("ru", "v")
     two = salted_join(one, named("v"), ["v"], F.col("ru"), flag("v")).where("ru != rv")
     return two.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
@@ -52,12 +52,12 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return pairs.select(empty.alias("id"), empty.alias("first_id")).limit(0)
     whole = rounds[-1].select("v", "rep")
     for hooks in reversed(rounds[:-1]):
-        heavy = heavy_keys(hooks.groupBy("rep").agg(F.count("*").alias("n")), ["rep"])
+        heavy = weighed_keys(hooks.groupBy("rep").agg(F.count("*").alias("n")), ["rep"])
         up = whole.select(F.col("v").alias("rep"), F.col("rep").alias("root"))
-        whole = salted_join(hooks.select("v", "rep"), up, ["rep"], F.col("v"), heavy, "left").select("v", F.coalesce("root", "rep").alias("rep"))
-    whole = cut(whole, "roots")
+        # written each time: the plan doesn't grow with the rounds
+        whole = cut(salted_join(hooks.select("v", "rep"), up, ["rep"], F.col("v"), heavy, "left").select("v", F.coalesce("root", "rep").alias("rep")), "roots")
     tops = whole.groupBy("rep").agg(F.min("v").alias("first_id"), F.count("*").alias("n"))
-    heavy = heavy_keys(tops, ["rep"])
+    heavy = weighed_keys(tops, ["rep"])
     return salted_join(whole, tops.select("rep", "first_id"), ["rep"], F.col("v"), heavy).select(F.col("v").alias("id"), "first_id")
 
 
@@ -66,9 +66,9 @@ def corroborating(relationships: DataFrame, facts: DataFrame) -> DataFrame:
     links = relationships.where(F.regexp_replace(F.upper("relation_type"), "[^A-Z]", "") == "CORROBORATES").select("fact_a_id", "fact_b_id").where("fact_a_id != fact_b_id").distinct()
     known = facts.where("id is not null").select("id").distinct()
     ends = links.select(F.col("fact_a_id").alias("id")).union(links.select(F.col("fact_b_id").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
-    heavy = heavy_keys(ends, ["id"])
+    heavy = weighed_keys(ends, ["id"])
     for end, other in (("fact_a_id", "fact_b_id"), ("fact_b_id", "fact_a_id")):
-        links = salted_join(links, known.select(F.col("id").alias(end)), [end], F.col(other), heavy.select(F.col("id").alias(end)))
+        links = salted_join(links, known.select(F.col("id").alias(end)), [end], F.col(other), heavy.withColumnRenamed("id", end))
     return links.select("fact_a_id", "fact_b_id")
 
 

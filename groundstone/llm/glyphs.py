@@ -7,13 +7,14 @@ from Unicode's own data by rule, so none is stored here.
 
 Folded: full-width and half-width forms, ligatures, compatibility letters, canonical equivalents
 (combining accents, the Kelvin sign), spaces of any width, invisible characters, hyphens that look
-alike, letters of Cyrillic and Greek that have the shape of a Latin letter.  Kept apart, because
+alike, single letters of other scripts that have the shape of a Latin letter.  Kept apart, because
 they look different: letter case, accents, superscripts and subscripts, fractions, circled forms,
 dashes longer than a hyphen.  White space is collapsed to single spaces and stripped at the ends.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -21,15 +22,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from groundstone.operators.skew import heavy_keys, salted_join
-
-# Letters with the shape of a Latin letter.
-LOOK_ALIKES = dict(zip("АВЕЅІЈКМНОРСТХУԚԜаеорсухѕіјһԁԛԝ", "ABESIJKMHOPCTXYQWaeopcyxsijhdqw")) | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϲοϳ", "ABEZHIKMNOPTYXCcoj")) | {"ɡ": "g", "ɑ": "a", "ʏ": "Y"}
+from groundstone.operators.skew import weighed_keys, salted_join
+
+# Single letters with the shape of a Latin letter, by script, and the Latin letters in the same order.
+_SHAPED = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТХУԚԜаеорсухѕіјһԁԛԝӀӏҮүѴѵ", "ABESIJKMHOPCTXYQWaeopcyxsijhdqwIlYyVv"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϲοϳαινρυ", "ABEZHIKMNOPTYXCcojaivpu"),
+    "Armenian": ("ՕՏԼՍօսհոյցզ", "OSLUouhnjgq"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZWSVSLCPKB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Latin": ("ɡɑʏ", "gaY"),
+}
+LOOK_ALIKES = {x: to for letters, latin in _SHAPED.values() for x, to in zip(letters, latin, strict=True)}
 # Hyphens and slashes that look like the plain ones.
 LOOK_ALIKES |= dict.fromkeys("‐‑‒−˗﹣", "-") | dict.fromkeys("⁄∕", "/") | {"․": ".", "ː": ":", "∶": ":", "‚": ","}
 
 #: Kinds of compatibility mapping that change how a character looks.
 _VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>")
+#: Letters that show nothing.
+_FILLERS = (0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5)
+_JAMO = re.compile("[\u1100-\u11ff]")
 _TOP = 0x110000
 _DROP, _SPACE = 0, 32
 
@@ -40,7 +52,7 @@ def _parts(ch: str) -> str:
         return " "
     kind = unicodedata.category(ch)
     cp = ord(ch)
-    if kind in ("Cf", "Cc") or cp == 0x34F or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180F or cp in (0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5) or 0xE0000 <= cp <= 0xE0FFF:
+    if kind in ("Cf", "Cc") or cp == 0x34F or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180F or cp in _FILLERS or 0xE0000 <= cp <= 0xE0FFF:
         return ""
     if ch in LOOK_ALIKES:
         return LOOK_ALIKES[ch]
@@ -64,10 +76,13 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
     ccc, apart = np.zeros(_TOP, np.uint8), np.zeros(_TOP, np.int32)
     long: list[str] = [""]
     pairs: dict[int, int] = {}
-    for cp in [*range(0x80), *range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0xE0000, 0xE1000)]:
+    # all of Unicode but ideographs and syllables, which stand for themselves, and surrogates
+    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE1000)]:
         ch = chr(cp)
         ccc[cp] = unicodedata.combining(ch)
         d = unicodedata.decomposition(ch)
+        if not d and unicodedata.category(ch) in ("Lo", "Cn", "Co", "So") and ch not in LOOK_ALIKES and cp not in _FILLERS:
+            continue
         if d and d[0] != "<" and " " in d:
             a, b = (int(x, 16) for x in d.split())
             if unicodedata.normalize("NFC", chr(a) + chr(b)) == ch:
@@ -148,7 +163,8 @@ def _composed(flat: np.ndarray, owner: np.ndarray, ccc: np.ndarray, pairs: np.nd
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the consistent forms of a batch, and where each text starts (n + 1 offsets)."""
     count, first, row, table, ccc, pairs, apart = tables()
-    flat, owner = _positioned(texts)
+    # jamo compose by arithmetic, not by the table
+    flat, owner = _positioned([t if t.isascii() or not _JAMO.search(t) else unicodedata.normalize("NFC", t) for t in texts])
     n = count[flat]
     if not (n == 1).all():
         keep = n > 0
@@ -184,9 +200,7 @@ def fold_texts(texts: list[str | None]) -> list[str | None]:
     """The consistent form of each text; null stays null, and a text of nothing visible becomes ''."""
     out: list[str | None] = []
     for a, b in parts([len(t) if t else 0 for t in texts]):
-        # jamo compose by arithmetic, not by the table
-        held = ["" if t is None else t if t.isascii() or not any("ᄀ" <= c <= "ᇿ" for c in t) else unicodedata.normalize("NFC", t) for t in texts[a:b]]
-        flat, at = fold(held)
+        flat, at = fold(["" if t is None else t for t in texts[a:b]])
         whole = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         out += [None if t is None else whole[x:y] for t, x, y in zip(texts[a:b], at[:-1].tolist(), at[1:].tolist())]
     return out
@@ -248,7 +262,7 @@ def coded_differently(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     ev = evidence.where("id is not null and quote is not null and document_id is not null and pdf_page_index is not null")
     ev = ev.select(F.col("id").alias("evidence_id"), *key, "quote", F.col("quote_char_start").alias("s"), F.col("quote_char_end").alias("e"))
     pg = pages.where("text is not null and document_id is not null and pdf_page_index is not null").select(*key, "text")
-    heavy = heavy_keys(ev.groupBy(*key).agg(F.count("*").alias("n")), key)
+    heavy = weighed_keys(ev.groupBy(*key).agg(F.count("*").alias("n")), key)
     both = salted_join(ev, pg, key, F.col("evidence_id"), heavy)
     placed = F.col("s").isNotNull() & F.col("e").isNotNull()
     shown = F.when(placed, F.substring("text", F.greatest(F.col("s"), F.lit(0)) + 1, F.greatest(F.col("e") - F.greatest(F.col("s"), F.lit(0)), F.lit(0)))).otherwise(F.col("text"))

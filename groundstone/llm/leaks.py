@@ -4,8 +4,9 @@ Words are runs of letters and digits of the consistent text form (``glyphs``) in
 window of ``WINDOW`` words, of items and corpus alike, gets a SimHash: each of its 64 bits is the
 majority of that bit over the window's word hashes.  A corpus window and an item window within the
 Hamming radius agree in at least one of radius + 1 blocks of bits, so looking every block up in an
-index of the items' blocks finds them all.  Windows of the same words have the same SimHash, so
-these are all among the candidates, which are verified word by word.
+index of the items' blocks finds them all.  Candidates are verified by the weighted similarity of
+their five-word shingles.  Where a passage counts only if its words are the item's, an exact check
+follows; windows of the same words have the same SimHash and the same shingles, so it misses none.
 
 Near copies have no such radius: one edge word of fifteen flips about seven bits.  Their candidates
 come from the five-word shingles themselves.  Shared shingles weigh at least ``least`` of a window's,
@@ -21,6 +22,7 @@ import math
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ from groundstone.llm.glyphs import fold, parts
 WINDOW, RADIUS, SHINGLE, SIMILAR = 15, 3, 5, 0.8
 #: Items are the query set: they are sent to the tasks in blocks of at most so many characters.
 BLOCK_CHARS = 4_000_000
+#: Parts of documents (of a million characters) that go through the blocks together, if there are several.
+PARTS_TOGETHER = 8
 #: Words that are fingerprinted at a time.
 _CHUNK = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -123,6 +127,7 @@ class BlockIndex:
         self.at = same_text(owner, window)
         self.ids = np.array(ids, np.int64)[owner[self.at]] if len(self.at) else np.zeros(0, np.int64)
         self.prints = fingerprints(self.h, window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.key, self.weight = shingles(self.h, self.length)
         edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
         self.blocks = []
         for lo, hi in zip(edges, edges[1:]):
@@ -154,22 +159,24 @@ class BlockIndex:
 def _matches(index: BlockIndex | ShingleIndex, h: np.ndarray, length: np.ndarray, at: np.ndarray, prints: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(window, item window, weighted share of five-word shingles) of verified candidates.
 
-    With ``least`` 1 a candidate must have the same words in the same order.
+    With ``least`` 1 a verified candidate must also have the same words in the same order.
     """
     if least < 1:
         yield from index.near(h, length, at, least)
         return
-    step = np.arange(index.window)
+    words_of, cells_of = np.arange(index.window), np.arange(max(index.window - SHINGLE + 1, 0))
+    key = weight = None
     for who, item in index.candidates(prints):
-        if not len(who):
-            continue
-        a, b = at[who], index.at[item]
-        first = h[a] == index.h[b]
-        who, item, a, b = who[first], item[first], a[first], b[first]
-        for k in range(0, len(who), 1 << 16):
-            s = slice(k, k + (1 << 16))
-            ok = (h[a[s][:, None] + step] == index.h[b[s][:, None] + step]).all(1)
-            yield who[s][ok], item[s][ok], np.ones(int(ok.sum()))
+        if len(who) and key is None:
+            key, weight = shingles(h, length)
+        for k in range(0, len(who), 1 << 14):
+            w, i = who[k : k + (1 << 14)], item[k : k + (1 << 14)]
+            a, b = at[w], index.at[i]
+            mine, theirs = a[:, None] + cells_of, b[:, None] + cells_of
+            share = _shingle_share(key[mine], _once(key[mine], weight[mine]), index.key[theirs], _once(index.key[theirs], index.weight[theirs]))
+            near = np.flatnonzero(share >= SIMILAR)
+            same = near[(h[a[near][:, None] + words_of] == index.h[b[near][:, None] + words_of]).all(1)]
+            yield w[same], i[same], share[same]
 
 
 def shingles(h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,37 +275,45 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius:
     them.  With ``least`` 1 a match is a window of the same words; below 1, any whose weighted
     shingle similarity reaches it, whatever the radius.  Null and empty texts, and items
     shorter than the window, match nothing.  Items and documents given twice count once in pairs.
-    Items are processed in blocks of bounded size, each against all documents.
+    Items are the query set: they are sent out in blocks of bounded size, which the driver holds one
+    at a time, and every task takes its documents through all of them in one scan.
     """
+    spark = documents.sparkSession
     item_rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates(["item_id"])
     size = item_rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
-    schema = "item_id bigint, doc_id bigint, windows bigint, similarity double"
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = None
+    shared = []
     for k in range(blocks):
         rows = sorted((r.item_id, r.text) for r in item_rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
-
-        def run(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            ids, held = [r[0] for r in rows], [r[1] for r in rows]
-            index = BlockIndex(ids, held, window, radius) if least >= 1 else ShingleIndex(ids, held, window)
-            for batch in batches:
-                for first, last in parts(batch.text.str.len().tolist()):
-                    b = batch.iloc[first:last]
-                    h, owner, length = words(b.text.tolist())
-                    at = same_text(owner, window)
-                    if not len(at) or not len(index.at):
-                        continue
-                    prints = fingerprints(h, window)[at] if least >= 1 else np.zeros(0, np.uint64)
-                    got = [(at[who], index.ids[item], share) for who, item, share in _matches(index, h, length, at, prints, least)]
-                    got = [g for g in got if len(g[0])]
+        shared.append(spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])))
+    together = 1 if blocks == 1 else PARTS_TOGETHER
+
+    def fingerprinted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for first, last in parts(batch.text.str.len().tolist()):
+                h, owner, length = words(batch.text.iloc[first:last].tolist())
+                at = same_text(owner, window)
+                if len(at):
+                    yield batch.doc_id.to_numpy()[first:last], h, owner, length, at, fingerprints(h, window)[at] if least >= 1 else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def built(k: int) -> BlockIndex | ShingleIndex:
+            return BlockIndex(*shared[k].value, window, radius) if least >= 1 else ShingleIndex(*shared[k].value, window)
+
+        only = built(0) if blocks == 1 else None
+        texts_ahead = fingerprinted(batches)
+        while held := list(islice(texts_ahead, together)):
+            for k in range(blocks):
+                index = only or built(k)
+                for doc, h, owner, length, at, prints in held if len(index.at) else ():
+                    got = [(at[who], index.ids[item], share) for who, item, share in _matches(index, h, length, at, prints, least) if len(who)]
                     if not got:
                         continue
                     pos, item, share = (np.concatenate([g[i] for g in got]) for i in range(3))
-                    found = pd.DataFrame({"item_id": item, "doc_id": b.doc_id.to_numpy()[owner[pos]], "pos": pos, "similarity": share})
+                    found = pd.DataFrame({"item_id": item, "doc_id": doc[owner[pos]], "pos": pos, "similarity": share})
                     found = found.groupby(["item_id", "doc_id", "pos"], as_index=False).similarity.max()
                     yield found.groupby(["item_id", "doc_id"], as_index=False).agg(windows=("pos", "size"), similarity=("similarity", "max"))
 
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.union(part)
+    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    out = texts.mapInPandas(run, "item_id bigint, doc_id bigint, windows bigint, similarity double")
     return out.groupBy("item_id", "doc_id").agg(F.max("windows").alias("windows"), F.max("similarity").alias("similarity"))

@@ -18,7 +18,7 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from groundstone.operators.skew import heavy_keys, salted_join
+from groundstone.operators.skew import weighed_keys, salted_join
 from groundstone.session import cut
 
 # Punctuation that counts: a point between digits, a minus that begins a number, % and currency
@@ -108,7 +108,7 @@ def copy_groups(facts: DataFrame) -> DataFrame:
     ids = roots.select("id", "digest").distinct()
     groups = ids.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     groups = cut(groups, "root-groups")
-    heavy = heavy_keys(groups, ["digest"], "copies")
+    heavy = weighed_keys(groups, ["digest"], "copies")
     members = salted_join(roots, groups, ["digest"], F.col("id"), heavy)
     members = cut(members.select("id", "digest", "first_id", "form"), "root-members")
     firsts = members.where("id = first_id").select("digest", F.col("form").alias("first_form")).dropDuplicates(["digest"])

@@ -357,3 +357,27 @@ def test_margin_is_over_all_languages():
         share = {k: (v[1][0] - v[0][0]) / v[0][0] for k, v in sizes.items()}
         level = "fine" if share["quick"] < languages.CLOSE else "quick"
         assert m == share[level] and lang in {x for n, x in sizes[level] if n == sizes[level][0][0]}
+
+
+def test_look_alikes_of_more_scripts_and_all_planes():
+    pairs = {"νοvα": "vova", "ραpa": "papa", "ӀBM": "IBM", "Үork": "York", "օffice": "office", "ᎠᎪᏟ": "DAC", "ꓓꓮꓚ": "DAC", "\U0002f800": "丽", "\U0001109a": "\U00011099\U000110ba", "\U0001d7ce": "0", "한국": "한국"}
+    for a, b in pairs.items():
+        one, two = glyphs.fold_texts([a, b])
+        assert one == two, (a, b)
+    assert glyphs.fold_texts(["к", "π", "λ", "é", "E", "²"]) == ["к", "π", "λ", "é", "E", "²"]
+    h, owner, _ = leaks.words(["한국 2", "한국 2"])
+    assert h[0] == h[2] and h[1] == h[3] and owner.tolist() == [0, 0, 1, 1]
+
+
+def test_many_blocks_give_what_one_gives(spark, monkeypatch):
+    rnd = random.Random(12)
+    text = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    items = [(k, text(30)) for k in range(40)]
+    docs = [(d, f"{text(40)} {' '.join(items[d % 40][1].split()[5:25])} {text(9)}" if d % 2 else text(60)) for d in range(100)]
+    dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for least in (1.0, 0.8):
+        one = sorted(map(tuple, leaks.leaks(dd, ii, least=least).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(leaks, "BLOCK_CHARS", 700)
+            m.setattr(leaks, "PARTS_TOGETHER", 2)
+            assert sorted(map(tuple, leaks.leaks(dd, ii, least=least).collect())) == one and len(one) >= 50
