@@ -56,9 +56,10 @@ def token_counts(texts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return texts.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens bigint")
 
 
-def combinations(bins: int, present: np.ndarray) -> np.ndarray:
-    """Rows of up to three length classes (0 for none) that fill a window of ``bins`` exactly, plus
-    every class repeated as often as it fits with one class that fills the rest."""
+def combinations(bins: int, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of up to three length classes (0 for none) and how often each is taken: those of three
+    texts or fewer that fill a window of ``bins`` exactly, plus every class repeated as often as it
+    fits, three times or more, with the largest class that fits into the rest."""
     here = np.flatnonzero(present)
     out = []
     for a in here[here > 0]:
@@ -71,14 +72,22 @@ def combinations(bins: int, present: np.ndarray) -> np.ndarray:
         ok = (c > 0) & (c <= b)
         ok[ok] &= present[c[ok]]
         out += [(a, x, y) for x, y in zip(b[ok].tolist(), c[ok].tolist())]
-    return np.array(out, np.int64).reshape(-1, 3)
+    once = len(out)
+    repeated = [(a, bins // a) for a in here[here > 0].tolist() if bins // a > 2]
+    out += [(a, int(here[np.searchsorted(here, bins - a * n, "right") - 1]) if bins - a * n >= here[0] else 0, 0) for a, n in repeated]
+    columns = np.array(out, np.int64).reshape(-1, 3)
+    times = np.ones_like(columns)
+    times[once:, 0] = [n for _, n in repeated]
+    return columns, times
 
 
-def solve(columns: np.ndarray, wanted: np.ndarray, weight: np.ndarray, rounds: int = 2_000) -> np.ndarray:
+def solve(columns: np.ndarray, wanted: np.ndarray, weight: np.ndarray, rounds: int = 2_000, times: np.ndarray | None = None) -> np.ndarray:
     """Non-negative least squares by active sets: how often to repeat each combination.
 
-    ``columns`` has one row of classes per combination; a class counts as often as it occurs.
+    ``columns`` has one row of classes per combination; a class counts as often as it occurs, each
+    time as often as ``times`` says (once by default).
     """
+    times = np.ones_like(columns) if times is None else times
     n, m = len(columns), len(wanted)
     x = np.zeros(n)
     if not n:
@@ -90,7 +99,7 @@ def solve(columns: np.ndarray, wanted: np.ndarray, weight: np.ndarray, rounds: i
     def gradient(r: np.ndarray) -> np.ndarray:
         rw = np.append(r * weight, 0.0)
         rw[0] = 0.0
-        return rw[columns].sum(1)
+        return (rw[columns] * times).sum(1)
 
     residual = target.copy()
     scale = max(1.0, float(np.abs(target).max()))
@@ -104,9 +113,9 @@ def solve(columns: np.ndarray, wanted: np.ndarray, weight: np.ndarray, rounds: i
         used[k] = True
         active.append(k)
         col = np.zeros(m)
-        for c in columns[k]:
+        for c, n_c in zip(columns[k], times[k]):
             if c:
-                col[c] += weight[c]
+                col[c] += weight[c] * n_c
         a = np.column_stack([a, col])
         while True:
             z, *_ = np.linalg.lstsq(a, target, rcond=None)
@@ -137,13 +146,16 @@ def plan(histogram: np.ndarray, bins: int) -> list[tuple[tuple[tuple[int, int],
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    columns = combinations(bins, left > 0)
+    columns, times = combinations(bins, left > 0)
     weight = np.sqrt(np.arange(bins + 1, dtype=float))
-    x = solve(columns, left.astype(float), weight)
+    x = solve(columns, left.astype(float), weight, times=times)
     for k in np.argsort(-x, kind="stable"):
         if x[k] < 0.5:
             break
-        classes, many = np.unique(columns[k][columns[k] > 0], return_counts=True)
+        need = np.zeros(bins + 1, np.int64)
+        np.add.at(need, columns[k], times[k])
+        classes = np.flatnonzero(need[1:]) + 1
+        many = need[classes]
         n = int(min(round(x[k]), (left[classes] // many).min()))
         if n > 0:
             left[classes] -= many * n

@@ -283,3 +283,14 @@ def test_vocabulary_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(packing, "MAX_VOCABULARY", 10)
     with pytest.raises(ValueError):
         packing.token_counts(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
+
+
+def test_short_texts_go_through_the_solver():
+    bins = 256
+    h = np.bincount(np.random.default_rng(1).integers(5, 60, 20_000), minlength=bins + 1)
+    columns, times = packing.combinations(bins, h > 0)
+    assert len(columns) and ((columns * times).sum(1) <= bins).all() and (columns.astype(bool) * times).max() > 3
+    x = packing.solve(columns, h.astype(float), np.sqrt(np.arange(bins + 1.0)), times=times)
+    plan = packing.plan(h, bins)
+    used = sum(n for _, n in plan)
+    assert x.sum() > 0.9 * used and (h * np.arange(bins + 1)).sum() / (used * bins) > 0.99
