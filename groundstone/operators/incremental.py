@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from groundstone.functions.identity import document_id
+from groundstone.operators.ordinals import sums_before
 from groundstone.options import DEFAULTS, Options
-from groundstone.session import cut, forget
+from groundstone.session import NEW, settled
 
 #: Tables that belong to a document, with the column that says to which.
 OWNED = {"pages": "document_id", "chunks": "document_id", "facts": "document_id", "evidence": "document_id"}
@@ -24,18 +25,20 @@ def ingest_plan(incoming: DataFrame, known: DataFrame, options: Options = DEFAUL
     return d.select("content_sha256", document_id(F.col("content_sha256")).alias("id"), action.alias("action"))
 
 
-def pending(chunks: DataFrame, documents: DataFrame, progress: DataFrame, options: Options = DEFAULTS, document: str | None = None) -> DataFrame:
+def pending(chunks: DataFrame, documents: DataFrame, progress: DataFrame, options: Options = DEFAULTS, document: str | None = None, ordered: bool = True) -> DataFrame:
     """Chunks still to be extracted, interleaved: the first of every document, then the second, and so on.
 
-    Done chunks are left out, failed ones come again.  Ranks count pending rows only.
+    Done chunks are left out, failed ones come again.  Ranks count pending rows only, in stretches,
+    so a document of any size is no task of its own.  Without ``ordered`` the rows come unsorted.
     """
     todo = chunks.where((F.col("role") == "extraction") & (F.col("numeric_density") >= options.min_numeric_density))
     if document is not None:
         todo = todo.where(F.col("document_id") == document)
     done = progress.where("status = 'done'").select(F.col("chunk_id").alias("id"))
     todo = todo.join(done, "id", "left_anti").join(documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title")), "document_id")
-    rank = Window.partitionBy("document_id").orderBy("ordinal", "id")
-    return todo.withColumn("doc_rank", F.row_number().over(rank)).orderBy("doc_rank", "document_id")
+    places = sums_before(todo.select("id", "document_id", "ordinal", F.lit(1).alias("n")), "document_id", "ordinal", "id", "n")
+    todo = todo.join(places.select("id", (F.col("before") + 1).cast("int").alias("doc_rank")), "id")
+    return todo.orderBy("doc_rank", "document_id") if ordered else todo
 
 
 def unembedded(facts: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -77,10 +80,14 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] |
 
 
 def replaced(df: DataFrame, path: str) -> None:
-    """Overwrite a parquet table that ``df`` may have been read from: written aside first, then moved in."""
-    aside = cut(df, "replace")
-    forget(df.sparkSession, path)
-    aside.write.mode("overwrite").parquet(path)
+    """Overwrite a parquet table that ``df`` may have been read from.
+
+    The new table is whole before the old one moves: a crash leaves the old table, the new one or
+    both beside the path, and ``session.settled`` puts the right one in place before the next use.
+    """
+    settled(df.sparkSession, path)
+    df.write.mode("overwrite").parquet(path + NEW)
+    settled(df.sparkSession, path)
 
 
 def statuses(documents: DataFrame, facts: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -60,20 +60,31 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 6, threshold: float
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def cross_document_pairs(vectors: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def cross_document_pairs(vectors: DataFrame, options: Options = DEFAULTS, fresh: DataFrame | None = None) -> DataFrame:
     """fact_a_id < fact_b_id and similarity: pairs across documents of at least the threshold, where
     one is among the other's k best.
 
     Exact: every block of rows meets every other once, in a task of its own, and each hands on its k
     best of every row only.  The work grows with the square of the collection; the approximate search
     for large collections is another operator.  Columns: fact_id, document_id, vector.
+
+    With ``fresh`` (fact_id) only pairs that have such a fact: they lie in blocks of their own, and
+    only pairs of blocks with one of these meet, so the work grows with fresh times all.
     """
     k, threshold = options.candidate_top_k, options.similarity_threshold
     base = vectors.select("fact_id", "document_id", unit(F.col("vector")).alias("v"))
-    blocks = max(1, -(-base.count() // BLOCK_ROWS))
-    own = F.pmod(F.xxhash64("fact_id"), F.lit(blocks)).cast("int")
-    # a row goes to every pair of blocks that its own block is in
-    spread = base.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    new = F.lit(True)
+    if fresh is not None:
+        base = base.join(fresh.select("fact_id").distinct().withColumn("new", F.lit(True)), "fact_id", "left")
+        new = F.coalesce("new", F.lit(False))
+    n = base.agg(F.count("*").alias("all"), F.count_if(new).alias("new")).first()
+    first, rest = -(-n.new // BLOCK_ROWS), -(-(n.all - n.new) // BLOCK_ROWS)
+    block = lambda start, many: (F.pmod(F.xxhash64("fact_id"), F.lit(max(many, 1))) + start).cast("int")
+    own = F.when(new, block(0, first)).otherwise(block(first, rest))
+    # a row goes to every pair of blocks that its own block is in and that has a fresh one
+    most = F.when(new, F.lit(first + rest)).otherwise(F.lit(first))
+    others = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
+    spread = base.withColumn("own", own).withColumn("other", F.explode(others)).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("new")
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         x, y = b.x.iloc[0], b.y.iloc[0]

@@ -154,7 +154,7 @@ def pending_round_robin(spark: SparkSession, folder: str) -> DataFrame:
 def runtime_estimate(spark: SparkSession, folder: str) -> DataFrame:
     """Q20: chunks still to do and the seconds they take on four workers."""
     s = Store(spark, folder)
-    n = incremental.pending(s.chunks, s.documents, s.progress).agg(F.count("*").alias("chunks"))
+    n = incremental.pending(s.chunks, s.documents, s.progress, ordered=False).agg(F.count("*").alias("chunks"))
     return n.select("chunks", F.round(F.col("chunks") * DEFAULTS.seconds_per_chunk / 4, 6).alias("seconds"))
 
 
@@ -216,9 +216,91 @@ def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("fact_id", F.round(vectors.dot(doubles, doubles), 4).alias("square"), F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("unit_square"))
 
 
+def recent_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """L4, Q2: a page of documents, the latest ingested first."""
+    return store.page_of(Store(spark, folder).documents, [F.desc_nulls_last("ingested_at"), "id"], 30, 5).select("id", "filename", "status", "ingested_at")
+
+
+def document_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The first pages of documents by part of their file's name."""
+    s = Store(spark, folder)
+    d = s.pages.join(s.documents.where(store.holds(F.col("filename"), "report")).select(F.col("id").alias("document_id"), "filename"), "document_id")
+    return d.orderBy("document_id", "pdf_page_index", "id").limit(100).select("id", "filename", "pdf_page_index", "printed_page_label", F.substring("text", 1, 1000).alias("head"))
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The first chunks of a document by ordinal, those of extraction only."""
+    s = Store(spark, folder)
+    one = s.documents.orderBy("id").limit(3).select(F.col("id").alias("document_id"))
+    d = s.chunks.where("role = 'extraction'").join(one, "document_id", "left_semi")
+    return d.orderBy("document_id", "ordinal", "id").limit(60).select("id", "ordinal", "char_start", "char_end", F.substring("text", 1, 220).alias("head"))
+
+
+def repair_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest chunks whose answer failed or had to be repaired."""
+    s = Store(spark, folder)
+    d = s.repairs.where(F.col("outcome").isin("failed", "ok_after_repair")).join(s.chunks.select(F.col("id").alias("chunk_id"), "document_id", "text"), "chunk_id")
+    return d.orderBy(F.desc("chunk_id")).limit(10).select("chunk_id", "document_id", "outcome", F.substring("text", 1, 2000).alias("text"))
+
+
+def showcase_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Q8: relationships by type, how many lie across documents and are explained, and whether every
+    type of the showcase has an example."""
+    s = Store(spark, folder)
+    kinds = ["CORROBORATES", "CONTRADICTS", "CONTEXT_RECONCILED"]
+    shown = showcase(spark, folder).groupBy("relation_type").agg(F.count("*").alias("examples"))
+    told = F.coalesce(F.trim("explanation"), F.lit("")) != ""
+    all_ = s.relationships.where(F.col("relation_type").isin(kinds)).groupBy("relation_type").agg(F.count("*").alias("total"), F.count_if(F.col("cross_document") == 1).alias("across"), F.count_if((F.col("cross_document") == 1) & told).alias("explained"))
+    d = all_.join(shown, "relation_type", "left").withColumn("examples", F.coalesce("examples", F.lit(0)))
+    return d.crossJoin(d.agg((F.count_if(F.col("examples") > 0) == len(kinds)).alias("complete")))
+
+
+def one_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact with the most relationships, looked up by its id, with them, the surest first."""
+    s = Store(spark, folder)
+    r = store.oriented(s.relationships.select("id", "fact_a_id", "fact_b_id", "relation_type", "reason_tag", "confidence", "similarity_score"))
+    top = r.join(s.facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").groupBy("fact_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fact_id").first()
+    wanted = top.fact_id if top else ""
+    fact = s.details.where(F.col("id") == wanted).select(F.col("id").alias("fact_id"), "document", "attribute", "value", "quote")
+    other = s.facts.select(F.col("id").alias("other_id"), F.col("canonical_text").alias("other_text"))
+    d = fact.join(r.where(F.col("fact_id") == wanted), "fact_id").join(other, "other_id", "left")
+    return d.orderBy(F.desc_nulls_last("confidence"), F.desc_nulls_last("similarity_score"), "id").select("fact_id", "document", "attribute", "value", "quote", "id", "other_id", "relation_type", "confidence", "other_text")
+
+
+def relationship_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """How many relationships a filter keeps, beside the counts by type over all rows."""
+    s = Store(spark, folder)
+    kept = store.relation_filter(s.relationships).agg(F.count("*").alias("total"))
+    return s.relationships.groupBy("relation_type").agg(F.count("*").alias("n")).crossJoin(kept)
+
+
+def list_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Extraction as a job of every document: its progress and status, the latest first."""
+    s = Store(spark, folder)
+    tried = s.progress.join(s.chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
+    n = tried.groupBy("document_id").agg(F.count("*").alias("tried"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("facts").alias("facts"), F.max("processed_at").alias("updated_at"))
+    total = s.chunks.where("role = 'extraction'").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    d = total.join(n, "document_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tried", "failed", "facts")})
+    status = F.when(F.col("tried") == 0, "queued").when(F.col("failed") > 0, "failed").when(F.col("tried") < F.col("chunks"), "running").otherwise("done")
+    return d.withColumn("status", status).orderBy(F.desc_nulls_last("updated_at"), "document_id").limit(20).select("document_id", "status", "chunks", "tried", "failed", "facts", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def best_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates of a dry run of linking, the most alike first."""
+    return link_candidates(spark, folder).orderBy(F.desc("similarity"), "fact_a_id", "fact_b_id").limit(20)
+
+
+def similar_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """V3: the six nearest facts of every fact whose number is divisible by 50, by exact search."""
+    v = _vectors(spark, folder)
+    asked = v.where(F.conv(F.right("fact_id", F.lit(4)), 16, 10).cast("int") % 50 == 0)
+    return vectors.search(asked, v, DEFAULTS.candidate_top_k).select("query_id", "fact_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     store_counts, list_documents, delete_document, list_facts, fact_details, fact_relationships, list_fact_types, list_relationships, relation_counts, match_modes, showcase, failure_report, barren_chunks, rebuilt_spans,
     evidence_context, pending_round_robin, runtime_estimate, browse_facts, browse_relations, browse_chunks, unembedded_facts, derived_status, vector_pairs, link_candidates, unit_vectors,
+    recent_documents, document_pages, document_chunks, repair_samples, showcase_totals, one_fact, relationship_totals, list_jobs, best_candidates, similar_facts,
 )}
 
 _ONCE = ", ".join(f"{n}1 as (select distinct * from {n})" for n in ("pages", "chunks", "facts", "evidence", "relationships", "fact_embeddings"))
@@ -240,6 +322,13 @@ _ALIKE = f"""v0 as (select e.fact_id, f.document_id, e.vector::double[] as v fro
  alike as (select least(qid, pid) as fact_a_id, greatest(qid, pid) as fact_b_id, round(max(sim), 6) as similarity from k where r <= 6 group by 1, 2)"""
 _GONE = "gone as (select document_id as id from facts1 group by 1 order by count(*) desc, 1 limit 1), lost as (select id from facts1 where document_id in (select id from gone))"
 
+_SHOWN = f"""{_STORE}, det as ({_DETAILS}),
+ j as (select r.*, a.quote as qa, b.quote as qb, a.match_mode as ma, b.match_mode as mb, a.printed_page_label as la, b.printed_page_label as lb from relationships1 r join det a on a.id = r.fact_a_id join det b on b.id = r.fact_b_id
+   where r.relation_type in ('CORROBORATES', 'CONTRADICTS', 'CONTEXT_RECONCILED') and r.cross_document = 1 and a.document_id <> b.document_id and coalesce(trim(r.explanation, ' '), '') <> ''),
+ n as (select *, row_number() over (partition by relation_type order by confidence desc nulls last, similarity_score desc nulls last, id) as n from j),
+ m as (select *, least(length(qa), length(qb)) as shorter, case when least(length(qa), length(qb)) >= 30 then 1 else 0 end as substantial, (case when ma = 'reconstructed_span' then 1 else 0 end) + (case when mb = 'reconstructed_span' then 1 else 0 end) as rebuilt, (case when coalesce(la, '') <> '' then 1 else 0 end) + (case when coalesce(lb, '') <> '' then 1 else 0 end) as labelled from n where n <= 15 and coalesce(qa, '') <> '' and coalesce(qb, '') <> ''),
+ r as (select *, row_number() over (partition by relation_type order by substantial desc, rebuilt, labelled desc, shorter desc, confidence desc nulls last, similarity_score desc nulls last, id) as rank from m)"""
+
 SQL: dict[str, str] = {
     "store_counts": _STORE + " " + " union all ".join(f"select '{n}' as name, count(*) as rows from {'doc_register' if n == 'documents' else n + '1'}" for n in _COUNTED),
     "list_documents": f"""{_STORE} select d.id, d.filename, d.status, (select count(*) from facts1 f where f.document_id = d.id) as fact_count, (select count(*) from chunks1 c where c.document_id = d.id and c.role = 'extraction') as chunk_count,
@@ -254,13 +343,7 @@ SQL: dict[str, str] = {
  select p.id, p.relation_type, p.reason_tag, p.confidence, p.similarity_score, a.canonical_text as text_a, b.canonical_text as text_b from p left join facts1 a on a.id = p.fact_a_id left join facts1 b on b.id = p.fact_b_id""",
     "relation_counts": f"{_STORE} select relation_type, count(*) as n from relationships1 group by 1",
     "match_modes": f"{_STORE} select match_mode, count(*) as n from evidence1 group by 1",
-    "showcase": f"""{_STORE}, det as ({_DETAILS}),
- j as (select r.*, a.quote as qa, b.quote as qb, a.match_mode as ma, b.match_mode as mb, a.printed_page_label as la, b.printed_page_label as lb from relationships1 r join det a on a.id = r.fact_a_id join det b on b.id = r.fact_b_id
-   where r.relation_type in ('CORROBORATES', 'CONTRADICTS', 'CONTEXT_RECONCILED') and r.cross_document = 1 and a.document_id <> b.document_id and coalesce(trim(r.explanation, ' '), '') <> ''),
- n as (select *, row_number() over (partition by relation_type order by confidence desc nulls last, similarity_score desc nulls last, id) as n from j),
- m as (select *, least(length(qa), length(qb)) as shorter, case when least(length(qa), length(qb)) >= 30 then 1 else 0 end as substantial, (case when ma = 'reconstructed_span' then 1 else 0 end) + (case when mb = 'reconstructed_span' then 1 else 0 end) as rebuilt, (case when coalesce(la, '') <> '' then 1 else 0 end) + (case when coalesce(lb, '') <> '' then 1 else 0 end) as labelled from n where n <= 15 and coalesce(qa, '') <> '' and coalesce(qb, '') <> ''),
- r as (select *, row_number() over (partition by relation_type order by substantial desc, rebuilt, labelled desc, shorter desc, confidence desc nulls last, similarity_score desc nulls last, id) as rank from m)
- select relation_type, rank, id, fact_a_id, fact_b_id, reason_tag, confidence, similarity_score, substantial, rebuilt, labelled, shorter from r where rank <= 3""",
+    "showcase": f"""{_SHOWN} select relation_type, rank, id, fact_a_id, fact_b_id, reason_tag, confidence, similarity_score, substantial, rebuilt, labelled, shorter from r where rank <= 3""",
     "failure_report": f"""{_STORE}, l as (select count(distinct chunk_id) filter (outcome = 'ok_after_reprompt') + count(distinct chunk_id) filter (outcome = 'ok_after_repair') as repaired, count(distinct chunk_id) filter (outcome = 'failed') as json_failed from repairs where chunk_id in (select chunk_id from progress)),
  p as (select count(*) as attempted, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'done' and facts = 0) as barren from progress)
  select attempted, failed, barren, repaired + json_failed as needing_repair, round(repaired / greatest(attempted, 1), 6) as repair_rate, round(json_failed / greatest(attempted, 1), 6) as failure_rate from p, l""",
@@ -278,4 +361,24 @@ SQL: dict[str, str] = {
     "vector_pairs": f"{_STORE}, {_ALIKE} select * from alike",
     "link_candidates": f"{_STORE}, {_ALIKE} select * from alike a where not exists (select 1 from relationships1 r where least(r.fact_a_id, r.fact_b_id) = a.fact_a_id and greatest(r.fact_a_id, r.fact_b_id) = a.fact_b_id)",
     "unit_vectors": f"{_STORE}, v as (select e.fact_id, e.vector::double[] as v from {_FINE} e join facts1 f on f.id = e.fact_id), u as (select *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from v) select fact_id, round(list_dot_product(v, v), 4) as square, round(list_dot_product(u, u), 6) as unit_square from u",
+    "recent_documents": "select id, filename, status, ingested_at from doc_register order by ingested_at desc nulls last, id limit 30 offset 5",
+    "document_pages": f"{_STORE} select p.id, d.filename, p.pdf_page_index, p.printed_page_label, substr(p.text, 1, 1000) as head from pages1 p join doc_register d on d.id = p.document_id where contains(lower(d.filename), 'report') order by p.document_id, p.pdf_page_index nulls first, p.id limit 100",
+    "document_chunks": f"{_STORE} select c.id, c.ordinal, c.char_start, c.char_end, substr(c.text, 1, 220) as head from chunks1 c where c.role = 'extraction' and c.document_id in (select id from doc_register order by id limit 3) order by c.document_id, c.ordinal nulls first, c.id limit 60",
+    "repair_samples": f"{_STORE} select r.chunk_id, c.document_id, r.outcome, substr(c.text, 1, 2000) as text from repairs r join chunks1 c on c.id = r.chunk_id where r.outcome in ('failed', 'ok_after_repair') order by r.chunk_id desc limit 10",
+    "showcase_totals": f"""{_SHOWN}, sh as (select relation_type, count(*) as examples from r where rank <= 3 group by 1),
+ t as (select relation_type, count(*) as total, count(*) filter (cross_document = 1) as across, count(*) filter (cross_document = 1 and coalesce(trim(explanation, ' '), '') <> '') as explained from relationships1 where relation_type in ('CORROBORATES', 'CONTRADICTS', 'CONTEXT_RECONCILED') group by 1),
+ u as (select t.*, coalesce(sh.examples, 0) as examples from t left join sh using (relation_type))
+ select *, (select count(*) filter (examples > 0) = 3 from u) as complete from u""",
+    "one_fact": f"""{_STORE}, det as ({_DETAILS}), o as (select fact_a_id as fact_id, fact_b_id as other_id, * exclude (fact_a_id, fact_b_id) from relationships1 union all select fact_b_id, fact_a_id, * exclude (fact_a_id, fact_b_id) from relationships1 where fact_a_id is distinct from fact_b_id),
+ top as (select fact_id from o where fact_id in (select id from facts1) group by 1 order by count(*) desc, 1 limit 1)
+ select f.id as fact_id, f.document, f.attribute, f.value, f.quote, o.id, o.other_id, o.relation_type, o.confidence, x.canonical_text as other_text from det f join top on top.fact_id = f.id join o on o.fact_id = f.id left join facts1 x on x.id = o.other_id""",
+    "relationship_totals": f"{_STORE} select relation_type, count(*) as n, (select count(*) from relationships1 where relation_type <> 'UNRELATED') as total from relationships1 group by 1",
+    "list_jobs": f"""{_STORE}, t as (select c.document_id, count(*) as tried, count(*) filter (p.status = 'failed') as failed, sum(p.facts)::bigint as facts, max(p.processed_at) as updated_at from progress p join chunks1 c on c.id = p.chunk_id group by 1),
+ n as (select document_id, count(*) as chunks from chunks1 where role = 'extraction' group by 1)
+ select document_id, case when coalesce(tried, 0) = 0 then 'queued' when failed > 0 then 'failed' when tried < chunks then 'running' else 'done' end as status, chunks, coalesce(tried, 0) as tried, coalesce(failed, 0) as failed, coalesce(facts, 0) as facts, strftime(updated_at, '%Y-%m-%d %H:%M:%S') as updated_at
+ from n left join t using (document_id) order by t.updated_at desc nulls last, document_id limit 20""",
+    "best_candidates": f"{_STORE}, {_ALIKE} select * from alike a where not exists (select 1 from relationships1 r where least(r.fact_a_id, r.fact_b_id) = a.fact_a_id and greatest(r.fact_a_id, r.fact_b_id) = a.fact_b_id) order by similarity desc, fact_a_id, fact_b_id limit 20",
+    "similar_facts": f"""{_STORE}, v0 as (select e.fact_id, e.vector::double[] as v from {_FINE} e join facts1 f on f.id = e.fact_id), v1 as (select fact_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v0),
+ s as (select a.fact_id as query_id, b.fact_id, list_dot_product(a.v, b.v) as cosine from v1 a join v1 b on a.fact_id <> b.fact_id where ('0x' || right(a.fact_id, 4))::int % 50 = 0),
+ k as (select *, row_number() over (partition by query_id order by cosine desc, fact_id) as rank from s where cosine >= 0) select query_id, fact_id, rank, round(cosine, 6) as cosine from k where rank <= 6""",
 }

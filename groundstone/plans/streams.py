@@ -20,7 +20,7 @@ def stream_registry(spark: SparkSession, folder: str) -> DataFrame:
     one_file = _is_file(spark, f"{folder}/facts.parquet")
     source, glob = (folder, "facts.parquet") if one_file else (f"{folder}/facts.parquet", None)
     streams.running_registry(spark, source, schema, f"{at}/table", f"{at}/state", glob).awaitTermination()
-    return streams.latest(spark, f"{at}/table")
+    return streams.latest(spark, f"{at}/table").withColumn("observed_keys", F.array_join("observed_keys", ","))
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -36,6 +36,6 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stream_registry": stream_registry, "stream_windows": stream_windows}
 
 SQL: dict[str, str] = {
-    "stream_registry": f"with {q.FACTS} select fact_type, count(*) as fact_count, min(created_at) as first_seen_at, max(created_at) as last_seen_at from facts1 where fact_type is not null group by 1",
+    "stream_registry": f"with {q.FACTS} select fact_type, count(*) as fact_count, min(created_at) as first_seen_at, max(created_at) as last_seen_at, (select string_agg(key, ',' order by key) from (select distinct unnest(json_keys(payload_json)) as key from facts1 x where x.fact_type = f.fact_type)) as observed_keys from facts1 f where fact_type is not null group by 1",
     "stream_windows": "select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,19 +53,65 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Paths of cuts by the scratches that are open, the innermost last.
+_open: list[list[str]] = []
+
+
+def cut(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     The result has no lineage beyond its files, so the loss of an executor costs nothing that was
-    computed before, and the columns a later step doesn't use aren't read.
+    computed before, and the columns a later step doesn't use aren't read.  The files go when the
+    ``scratch`` around them ends (with ``keep`` the one around that), at the latest with the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/groundstone-cuts/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    frames = _open[:-1] if keep else _open
+    if frames:
+        frames[-1].append(path)
     _forget_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Cuts made inside are deleted at the end: for steps whose results have been written elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            forget(spark, path)
+
+
+#: Beside a table's path: its next version, and the one before while they change places.
+NEW, OLD = ".new", ".old"
+
+
+def settled(spark: SparkSession, path: str) -> bool:
+    """Finish a replacement that may have been broken off; is there a table at ``path``?
+
+    A next version that is whole takes the table's place, any other goes.
+    """
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at(path + NEW)):
+        if fs.exists(at(f"{path}{NEW}/_SUCCESS")):
+            if fs.exists(at(path)):
+                fs.delete(at(path + OLD), True)
+                fs.rename(at(path), at(path + OLD))
+            fs.rename(at(path + NEW), at(path))
+        else:
+            fs.delete(at(path + NEW), True)
+    if fs.exists(at(path)):
+        fs.delete(at(path + OLD), True)
+    elif fs.exists(at(path + OLD)):
+        fs.rename(at(path + OLD), at(path))
+    return fs.exists(at(path))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, so that any shared store works."""
     jvm = spark.sparkContext._jvm

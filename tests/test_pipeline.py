@@ -44,3 +44,48 @@ def test_run_is_idempotent_and_grounded(spark, landing):
     assert run.table("documents").count() == 3 and run.table("facts").count() >= 4
     run.reset()
     assert run.table("facts") is None
+
+
+def test_stale_forced_and_redone(spark, landing):
+    at, root = str(landing / "store"), str(landing / "in")
+    run = Run(spark, at, Options(similarity_threshold=0.6))
+    run.ingest(root)
+    run.extract()
+    run.link()
+    n = {t: run.table(t).count() for t in ("documents", "pages", "chunks", "facts", "evidence", "relationships")}
+    newer = Run(spark, at, Options(similarity_threshold=0.6, parser_version="2"))
+    newer.ingest(root)
+    assert newer.table("facts").count() == newer.table("relationships").count() == newer.table("progress").count() == 0
+    assert {r.parser_version for r in newer.table("documents").collect()} == {"2"} and newer.table("pages").count() == n["pages"]
+    newer.extract()
+    newer.link(again=True)
+    assert {t: newer.table(t).count() for t in n} == n
+    newer.ingest(root, force=True)
+    assert newer.table("facts").count() == 0
+    newer.extract(limit=1)
+    newer.extract()
+    newer.extract(redo=True)
+    assert newer.table("facts").count() == n["facts"] and newer.table("progress").groupBy("chunk_id").count().where("count > 1").count() == 0
+    newer.link(limit=1)
+    assert newer.table("relationships").count() == min(1, n["relationships"])
+    newer.link()
+    newer.link(again=True)
+    assert newer.table("relationships").count() == n["relationships"] == newer.table("relationships").select("id").distinct().count()
+    jobs = newer.jobs().collect()
+    assert {(j.kind, j.status) for j in jobs} == {("ingest", "done"), ("extract", "done"), ("link", "done")} and len(jobs) == 13
+    with pytest.raises(Exception):
+        Run(spark, at, propose=lambda d: d.select("nothing")).extract(redo=True)
+    assert newer.jobs(1).first().status == "failed"
+
+
+def test_failed_chunks_come_again(spark, landing):
+    from pyspark.sql import functions as F
+
+    from groundstone.operators import proposer
+
+    run = Run(spark, str(landing / "store"), propose=lambda d: proposer.proposed(d.where("id like 'x'")).withColumn("outcome", F.lit(None).cast("string")).unionByName(d.select(F.col("id").alias("chunk_id"), F.lit("failed").alias("outcome")), allowMissingColumns=True))
+    run.ingest(str(landing / "in"))
+    run.extract()
+    assert {r.status for r in run.table("progress").collect()} == {"failed"} and run.table("facts").count() == 0
+    Run(spark, str(landing / "store")).extract()
+    assert {r.status for r in run.table("progress").collect()} == {"done"} and run.table("facts").count() == 3

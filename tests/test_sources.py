@@ -138,3 +138,66 @@ def test_queries_equal_their_sql(spark):
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert json.dumps(entry.entry(spark).schema.jsonValue())
+
+
+def test_upload_that_failed_between_the_writes(spark, landing, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    whole, store = DataFrameWriter.parquet, str(landing / "store")
+
+    def broken(self, path, *a, **k):
+        if path == f"{store}/documents":
+            raise OSError("lost")
+        return whole(self, path, *a, **k)
+
+    run = lambda: streams.ingest_uploads(spark, str(landing / "in"), store, str(landing / "cp")).awaitTermination()
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", broken)
+        with pytest.raises(Exception):
+            run()
+    assert spark.read.parquet(f"{store}/pages").count() == 3
+    done = []
+    streams.ingest_uploads(spark, str(landing / "in"), store, str(landing / "cp"), then=lambda: done.append(1)).awaitTermination()
+    assert spark.read.parquet(f"{store}/pages").count() == 3 and spark.read.parquet(f"{store}/documents").count() == 2 and done
+
+
+def test_replacement_that_was_broken_off(spark, tmp_path, rows):
+    from groundstone.operators.incremental import replaced
+    from groundstone.session import NEW, OLD, settled
+
+    at = str(tmp_path / "t")
+    spark.range(3).write.parquet(at)
+    replaced(spark.read.parquet(at).where("id > 0"), at)
+    assert rows(spark.read.parquet(at)) == [(1,), (2,)] and settled(spark, at)
+    spark.range(9).write.parquet(at + NEW)  # whole, not moved yet
+    (tmp_path / "t").rename(tmp_path / f"t{OLD}")
+    assert settled(spark, at) and spark.read.parquet(at).count() == 9 and not (tmp_path / f"t{OLD}").exists()
+    (tmp_path / f"t{NEW}").mkdir()  # broken off while it was written
+    assert settled(spark, at) and spark.read.parquet(at).count() == 9 and not (tmp_path / f"t{NEW}").exists()
+    assert not settled(spark, str(tmp_path / "none"))
+
+
+def test_scratch_deletes_its_cuts(spark):
+    from groundstone.session import scratch
+
+    with scratch(spark):
+        d = cut(spark.range(3), "inner")
+        path = d.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        kept = cut(spark.range(2), "outer", keep=True)
+        assert __import__("os").path.exists(path)
+    assert not __import__("os").path.exists(path) and kept.count() == 2
+
+
+def test_functions_in_sql(spark):
+    from groundstone.functions import sql
+
+    assert set(sql.register(spark)) == {*sql.SCALARS, *sql.TABLES}
+    r = spark.sql("select gs_slug('The Net Profit') a, gs_period('FY 2024-25') b, gs_number('about 9.168,5 kg') c, gs_date('12/06/1971') d, gs_yes_no('Y') e, gs_number(null) f, gs_ground('Up from “last year”—a record', 'UP FROM \"LAST YEAR\"-A') g").first()
+    assert (r.a, r.b, r.c, str(r.d), r.e, r.f, r.g.mode) == ("net_profit", "fy2025", 9168.5, "1971-06-12", True, None, "normalised_chars")
+    assert [tuple(x) for x in spark.sql("select * from gs_spans('aaaa. bbbb. cc', 6)").collect()] == chunking_spans("aaaa. bbbb. cc", 6)
+
+
+def chunking_spans(text, most):
+    from groundstone.operators.chunking import spans
+
+    return spans(text, most)
