@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from groundstone.operators.skew import weighed_keys, salted_join
-from groundstone.session import cut
+from groundstone.session import cut, scratch
 
 #: Rounds before giving up; 2^-90 of the edges remain by then.
 MAX_ROUNDS = 150
@@ -40,22 +40,25 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Direction, repeats, loops and null ends of the pairs don't matter; no pairs give no rows.
     """
     edges = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges-0")
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
-        if len(rounds) == MAX_ROUNDS:
-            raise RuntimeError("contraction didn't end")
-        rounds.append(cut(_hooks(edges, len(rounds)), f"hooks-{len(rounds)}"))
-        edges = cut(_relabelled(edges, rounds[-1]), f"edges-{len(rounds)}")
-    if not rounds:
-        empty = F.lit(None).cast("string")
-        return pairs.select(empty.alias("id"), empty.alias("first_id")).limit(0)
-    whole = rounds[-1].select("v", "rep")
-    for hooks in reversed(rounds[:-1]):
-        heavy = weighed_keys(hooks.groupBy("rep").agg(F.count("*").alias("n")), ["rep"])
-        up = whole.select(F.col("v").alias("rep"), F.col("rep").alias("root"))
-        # written each time: the plan doesn't grow with the rounds
-        whole = cut(salted_join(hooks.select("v", "rep"), up, ["rep"], F.col("v"), heavy, "left").select("v", F.coalesce("root", "rep").alias("rep")), "roots")
+    with scratch(pairs.sparkSession):  # edges and hooks go when the roots are written
+        edges = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges-0")
+        while not edges.isEmpty():
+            if len(rounds) == MAX_ROUNDS:
+                raise RuntimeError("contraction didn't end")
+            rounds.append(cut(_hooks(edges, len(rounds)), f"hooks-{len(rounds)}"))
+            edges = cut(_relabelled(edges, rounds[-1]), f"edges-{len(rounds)}")
+        if not rounds:
+            empty = F.lit(None).cast("string")
+            return pairs.select(empty.alias("id"), empty.alias("first_id")).limit(0)
+        whole = rounds[-1].select("v", "rep")
+        for hooks in reversed(rounds[:-1]):
+            heavy = weighed_keys(hooks.groupBy("rep").agg(F.count("*").alias("n")), ["rep"])
+            up = whole.select(F.col("v").alias("rep"), F.col("rep").alias("root"))
+            whole = salted_join(hooks.select("v", "rep"), up, ["rep"], F.col("v"), heavy, "left").select("v", F.coalesce("root", "rep").alias("rep"))
+            if hooks is not rounds[0]:  # written each time: the plan doesn't grow with the rounds
+                whole = cut(whole, "roots")
+        whole = cut(whole, "roots", keep=True)
     tops = whole.groupBy("rep").agg(F.min("v").alias("first_id"), F.count("*").alias("n"))
     heavy = weighed_keys(tops, ["rep"])
     return salted_join(whole, tops.select("rep", "first_id"), ["rep"], F.col("v"), heavy).select(F.col("v").alias("id"), "first_id")

@@ -144,7 +144,8 @@ def pieces_of(pages: DataFrame, limit: int = LIMIT, least: int = LEAST_SHARED, m
 
 
 def unsound_pages(pages: DataFrame, chunks: DataFrame, limit: int = LIMIT, least: int = LEAST_SHARED, most: int = MOST_SHARED) -> DataFrame:
-    """Ids of pages over the limit whose stored retrieval pieces aren't a sound cut.
+    """Ids of pages over the limit whose stored retrieval pieces are neither the cutter's nor another
+    sound cut.
 
     Pages and pieces are brought together by one shuffle and sorted by page, then ordinal, so that a
     task streams over them: a page's text comes first, its pieces follow in order.  Nothing is
@@ -157,7 +158,8 @@ def unsound_pages(pages: DataFrame, chunks: DataFrame, limit: int = LIMIT, least
         found: list[str] = []
 
         def done() -> None:
-            if text is not None and unsound(text, held, limit, least, most):
+            # pieces that are the cutter's own need no audit; any others may still be a sound cut
+            if text is not None and held != cut_page(text, limit, least, most) and unsound(text, held, limit, least, most):
                 found.append(page)
 
         for b in batches:

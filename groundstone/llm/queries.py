@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from groundstone.functions.text import WORD
 from groundstone.llm import components, glyphs, languages, leaks, neighbours, packing, pieces, records
 from groundstone.tables import table
 
@@ -121,4 +122,13 @@ _GROUPS = """with recursive f as (select distinct id from facts),
 SQL: dict[str, str] = {
     "p2_found": f"{_GROUPS} select first_id, id as fact_id from g where id <> first_id",
     "p2_groups": f"{_GROUPS} select f.id as fact_id, coalesce(g.first_id, f.id) as group_id from f left join g using (id)",
+    "p6_found": f"""with p as (select distinct id as page_id, text from pages where length(text) > 1200 and id is not null),
+ c as (select distinct coalesce(id, '?') as chunk_id, page_id, coalesce(ordinal, 0) as ordinal, char_start as s, char_end as e from chunks where role = 'retrieval' and char_start is not null and char_end is not null),
+ j as (select p.page_id, p.text, s, e, lag(s) over w as ps, lag(e) over w as pe, coalesce(max(e) over (partition by p.page_id order by s, e rows between unbounded preceding and 1 preceding), 0) as reach from p join c using (page_id) window w as (partition by p.page_id order by ordinal, chunk_id)),
+ x as (select page_id, text, unnest([s, e]) as spot from j),
+ r as (select page_id, length(regexp_extract(substr(text, 1, spot), '{WORD}$')) as a, length(regexp_extract(substr(text, spot + 1), '^{WORD}')) as b from x)
+ select page_id from p where page_id not in (select page_id from c where page_id is not null)
+ union select page_id from j where e - s > 1200 or (ps is not null and least(e, pe) - greatest(s, ps) not between 100 and 220) or (s > reach and regexp_matches(substr(text, reach + 1, s - reach), '{WORD}'))
+ union select page_id from (select page_id, text, max(e) as z from j group by 1, 2) where z < length(text) and regexp_matches(substr(text, z + 1), '{WORD}')
+ union select page_id from r where a > 0 and b > 0 and a + b <= 1200""",
 }
