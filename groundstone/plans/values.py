@@ -174,7 +174,7 @@ SQL: dict[str, str] = {
     "registry_total": f"with {q.FACTS} select (select sum(n)::bigint from (select count(*) n from facts1 where fact_type is not null group by fact_type)) as registered, count(fact_type) as typed, (select sum(n)::bigint from (select count(*) n from facts1 where fact_type is not null group by fact_type)) = count(fact_type) as complete from facts1",
     "emergent_keys": f"with {q.FACTS} select key, count(*) as facts from (select unnest(json_keys(payload_json)) as key from facts1) where key not in ('subject', 'attribute', 'predicate', 'value', 'unit', 'time_scope', 'qualifier', 'confidence', 'source_quote') group by 1",
     "json_guard": f"""with {q.FACTS}, forms as (select unnest([{{'form': 'plain', 'raw': p}}, {{'form': 'fenced', 'raw': '```json' || chr(10) || p || chr(10) || '```'}}, {{'form': 'wrapped', 'raw': '{{"facts": [' || p || ']}}'}}, {{'form': 'cut', 'raw': '[' || p || ', {{"subject": "x'}}, {{'form': 'empty', 'raw': '  '}}, {{'form': 'words', 'raw': 'no facts here'}}]) as x from (select payload_json as p from facts1)),
- t as (select x.form as form, trim(regexp_replace(x.raw, '^```json\s*|\s*```$', '', 'g')) as raw from forms),
+ t as (select x.form as form, trim(regexp_replace(x.raw, '^```json\\s*|\\s*```$', '', 'g')) as raw from forms),
  w as (select form, raw, json_valid(raw) as whole, case when raw like '[%' then regexp_replace(raw, ',[^,]*$', '') || ']' end as mended from t),
  g as (select form, case when raw = '' or whole then 'ok_first_try' when json_valid(mended) then 'ok_after_repair' else 'failed' end as outcome, case when raw = '' then null when whole then raw::json when json_valid(mended) then mended::json end as j from w)
  select form, outcome, count(*) as texts, sum(case when j is null then 0 when json_type(j) = 'ARRAY' then json_array_length(j) when json_type(j, '$.facts') = 'ARRAY' then json_array_length(j, '$.facts') else 1 end)::bigint as records from g group by 1, 2""",
