@@ -1,8 +1,13 @@
 """Pair rules, exact vectors, and what is new or pending."""
 
 import json
+import math
+import operator
+import tracemalloc
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +91,41 @@ def test_search(cloud):
     assert vectors.search(d.limit(0), d).count() == 0
 
 
+def test_search_has_no_most_queries(spark):
+    d = spark.range(10_001).select(F.format_string("f%05d", "id").alias("fact_id"), F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("vector"))
+    got = vectors.search(d, d, 1)
+    assert got.count() == got.select("query_id").distinct().count() == 10_001  # more than 10,000 queries were an error
+
+
+@pytest.mark.parametrize("queries, part", [(65536, 16384), (7, 16)])
+def test_search_in_blocks_and_parts_with_ties(spark, cloud, queries, part, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_ROWS", queries)
+    monkeypatch.setattr(vectors, "PART_ROWS", part)
+    x, _ = cloud
+    y = np.concatenate([x, x[:30], 2 * x[:30], x[:10], np.repeat(x[:1], 20, axis=0)]).astype(np.float32)
+    d = spark.createDataFrame([(f"f{i:03}", [float(v) for v in row]) for i, row in enumerate(y)], "fact_id string, vector array<float>")
+    asked = [0, 3, 11, 35, 42, 79, 80, 111, 130, 149, 150, 169]
+    got = vectors.search(d.where(F.col("fact_id").isin([f"f{q:03}" for q in asked])), d, 4, 0.2).collect()
+    in_order = lambda a, b: reduce(operator.add, map(operator.mul, a, b))
+    u = [[a / math.sqrt(in_order(row, row)) for a in row] for row in y.tolist()]
+    for q in asked:
+        s = [in_order(u[q], v) for v in u]
+        want = sorted((j for j in range(len(y)) if j != q and s[j] >= 0.2), key=lambda j: (-s[j], j))[:4]
+        assert [(r.fact_id, r.cosine) for r in sorted((r for r in got if r.query_id == f"f{q:03}"), key=lambda r: r["rank"])] == [(f"f{j:03}", s[j]) for j in want]
+
+
+def test_search_keeps_a_task_small():
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal(16) + 1e-6 * rng.standard_normal((9_000, 16))).astype(np.float32)  # as alike as can be told apart
+    x[:4000] = rng.standard_normal((4000, 16))
+    frame = lambda side, rows: pd.DataFrame({"side": side, "fact_id": [f"f{i:05}" for i in rows], "vector": list(x[rows])})
+    tracemalloc.start()
+    got = pd.concat(vectors.k_best(iter([frame(0, range(0, 9_000, 3)), frame(1, range(5_000)), frame(1, range(5_000, 9_000))]), 6, 0.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 18_000 and peak < 400e6  # of 27,000,000 pairs
+
+
 def test_proper_and_unit(spark):
     d = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0]), ("e", [float("nan"), 1.0]), ("f", [None, 1.0])], "fact_id string, vector array<float>")
     assert [r.fact_id for r in vectors.proper(d, 2).collect()] == ["a"]
